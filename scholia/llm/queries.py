@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import copies, encode, term_counts
+from scholia.llm import copies, encode, natlang, term_counts
 from scholia.plans.tables import table
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    codes = sorted(r.code for r in table(spark, d, "nat_langs").select("code").where("code is not null").distinct().collect())
+    files = table(spark, d, "source_files")
+    return natlang.find_languages(files, natlang.train(table(spark, d, "documents"), files, codes))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("file_id", "nat_lang").distinct()
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each language's sentences in a file, and their share of the file's characters."""
+    size = table(spark, d, "source_files").select("file_id", F.length("content").alias("file_chars"))
+    return _languages(spark, d).join(size, "file_id").select("file_id", "nat_lang", "n_sentences", "n_chars", F.round(F.col("n_chars") / F.col("file_chars"), 4).alias("share"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.link_copies(table(spark, d, "tasks"))
 
@@ -42,7 +58,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids)
+    f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids)
 }
 
 _SEPARATORS = term_counts.SEPARATORS
