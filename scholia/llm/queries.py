@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import copies, encode, natlang, term_counts
+from scholia.llm import copies, encode, mojibake, natlang, term_counts
 from scholia.plans.tables import table
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "tasks")
+    return mojibake.find_garbled(tasks, mojibake.train(tasks, "task_id", ["text"]), "task_id", ["text", "message"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("task_id", "field").distinct()
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Each garbled field with its encoding chain and the restored text where nothing is lost."""
+    return _garbled(spark, d)
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     codes = sorted(r.code for r in table(spark, d, "nat_langs").select("code").where("code is not null").distinct().collect())
     files = table(spark, d, "source_files")
@@ -58,7 +72,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids)
+    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids)
 }
 
 _SEPARATORS = term_counts.SEPARATORS
