@@ -32,7 +32,7 @@ _SINGLE = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "iso8859-2", "iso8
 #: (true encoding, encoding it was read with) of one step.
 _UTF8_READ_AS = ("cp1252", "latin-1", "cp1251", "cp437", "mac-roman", "cp850", "cp1250", "koi8-r", "cp866", "cp1254", "gb18030", "big5", "shift_jis", "euc-kr")
 _OTHER_STEPS = (
-    *(("cp1251", w) for w in ("latin-1", "cp1252", "koi8-r", "cp866", "mac-roman")),
+    *(("cp1251", w) for w in ("latin-1", "cp1252", "koi8-r", "mac-roman")),
     *(("koi8-r", w) for w in ("latin-1", "cp1252", "cp1251")),
     *(("cp866", w) for w in ("latin-1", "cp1252", "cp1251", "koi8-r")),
     *((t, w) for t in ("gb18030", "euc-kr", "shift_jis", "euc-jp", "big5") for w in ("latin-1", "cp1252")),
@@ -131,7 +131,8 @@ _QUOTED = re.compile(r"(?<![^\s(])([\"'`])([^\s\w]{0,2}[^\s]{1,12})\1(?![^\s.,;:
 
 
 def _odd_words(text: str) -> list[str]:
-    return [w for w in text.split(" ") if not w.isascii()]
+    """Words between plain spaces with other than ASCII characters, if not just unusual spaces."""
+    return [w for w in text.split(" ") if not w.isascii() and any(ord(c) > 127 and not c.isspace() for c in w)]
 
 
 @dataclass
