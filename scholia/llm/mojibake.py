@@ -159,11 +159,11 @@ class Model:
         if found is None:
             here = _buckets(word)
             odds = self.odds[:, here].sum(axis=1)
-            as_it_is = self.clean[here].sum()
+            as_it_is = self.clean[here]
             restored = {}
             for c in np.flatnonzero(odds > 0):
                 back = restore(word, self.chains[c])
-                gain = -1.0 if back is None or back == word else self.clean[_buckets(back)].sum() - as_it_is
+                gain = -1.0 if back is None or back == word else self._gain(as_it_is, self.clean[_buckets(back)], self.chains[c])
                 odds[c] = min(odds[c], gain)
                 if gain > 0:
                     restored[int(c)] = back
@@ -173,6 +173,20 @@ class Model:
             self._words[word] = found
         return found
 
+    @staticmethod
+    def _gain(before: np.ndarray, after: np.ndarray, chain: Chain) -> float:
+        """How much more probable the restored word is.
+
+        A chain without UTF-8 keeps the number of characters, so there the word must also be more
+        probable for its length: scripts differ in bytes per character.
+        """
+        if not len(after):
+            return -1.0
+        gain = after.sum() - before.sum()
+        if all(true != "utf-8" for true, _ in chain):
+            gain = min(gain, (after.mean() - before.mean()) * len(after))
+        return float(gain)
+
     def detect(self, text: str | None) -> tuple[str, str | None] | None:
         """(chain, restored text) of a garbled text, None for a clean one.
 
