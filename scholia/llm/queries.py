@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import copies, encode, mojibake, natlang, term_counts
+from scholia.llm import copies, encode, mojibake, natlang, packing, splitting, term_counts
 from scholia.plans.tables import table
 
 
@@ -71,8 +71,30 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
 
+def _limits(spark: SparkSession, d: str, purpose: str) -> list[tuple[int, int, int]]:
+    rows = table(spark, d, "token_limits").where((F.col("purpose") == purpose) & F.col("max_tokens").isNotNull()).orderBy("limit_id").collect()
+    return [(r.limit_id, r.max_tokens, r.overlap_tokens or 0) for r in rows]
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    capacities = {i: c for i, c, _ in _limits(spark, d, "pack")}
+    return packing.pack(encode.count_tokens(table(spark, d, "documents")), capacities, "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each capacity and the share of their space that is used."""
+    capacities = {i: c for i, c, _ in _limits(spark, d, "pack")}
+    capacity = F.element_at(F.create_map(*(F.lit(x) for i, c in capacities.items() for x in (i, c))), F.col("limit_id"))
+    each = p8_containers(spark, d).where("size > 0").groupBy("limit_id", "container").agg(F.sum("size").alias("used"))
+    return each.groupBy("limit_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 4))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(table(spark, d, "documents"), _limits(spark, d, "split"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids)
+    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids, p8_containers, p8_fill, p9_pieces)
 }
 
 _SEPARATORS = term_counts.SEPARATORS
