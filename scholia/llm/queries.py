@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import copies, encode, mojibake, natlang, packing, splitting, term_counts
+from scholia.llm import copies, encode, identities, mojibake, natlang, packing, splitting, term_counts
 from scholia.plans.tables import table
 
 
@@ -49,6 +49,15 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_copies(table(spark, d, "tasks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return identities.pairs(identities.link(table(spark, d, "git_users")))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each row with the smallest id of its person or organisation."""
+    return identities.link(table(spark, d, "git_users"))
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     fields = {"label": term_counts.split_terms(F.col("label")), "type": term_counts.whole_value(F.col("type"))}
     return term_counts.count_terms(table(spark, d, "tasks"), fields)
@@ -94,7 +103,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p6_found, p6_terms, p6_ngrams, p7_ids, p8_containers, p8_fill, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_entities, p6_found, p6_terms, p6_ngrams, p7_ids, p8_containers, p8_fill, p9_pieces)
 }
 
 _SEPARATORS = term_counts.SEPARATORS
