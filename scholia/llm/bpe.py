@@ -190,10 +190,9 @@ class Encoder:
     def count(self, text: str | None) -> int:
         return len(self.packed(text)) // 4
 
-    def words(self, text: str) -> tuple[list[str], list[int]]:
-        """The pre-tokens of ``text`` and the number of tokens of each."""
-        words = self.split(text)
-        return words, [len(self.cache.get(w) or self._encode_chunk(w)) // 4 for w in words]
+    def ids_of(self, piece: str) -> bytes:
+        """The packed ids of one pre-token or one stretch between white space."""
+        return self.cache.get(piece) or self._encode_chunk(piece)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(self.vocabulary.bytes_of[i] for i in ids)

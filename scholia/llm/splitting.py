@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ _SLACK = 2
 #: A unit is never larger: longer stretches without a boundary are cut between whole characters.
 _UNIT = 32
 
-_NATURAL = re.compile(r"(\r?\n[ \t]*(?:\r?\n[ \t]*)+)|(\r\n|\n|\r)|([.!?…]+[\"'”’»)\]]*(?=\s)[^\S\r\n]*|[。！？]+[」』”’）]*)")
-_CLAUSE = re.compile(r"[,;:]+(?=\s)|[，、；：]")
+_BREAK = re.compile(r"[\r\n.!?…。！？]+[\"'”’»)\]」』）]*\s*")
+_CLAUSE = re.compile(r"[,;:]+\s+|[，、；：]")
 
 
 class Units:
@@ -40,26 +41,30 @@ class Units:
 
     def __init__(self, text: str, encode: Encoder):
         self.text, self.encode = text, encode
-        ends, sizes, words = [0], [0], []
         chunks = encode.split(text) if encode.separators(text) else encode.chunk(text)
-        for chunk, ids in zip(chunks, map(encode.cache.get, chunks)):
-            if ids is not None and (len(chunk) <= 12 or len(chunk) <= 60 and chunk.isascii()):
-                ends.append(len(chunk))
-                sizes.append(len(ids) >> 2)
-            else:
-                for word in encode.split(chunk):
-                    n = encode.count(word)
-                    if n <= _UNIT:
-                        ends.append(len(word))
-                        sizes.append(n)
+        ends, sizes = list(map(len, chunks)), [len(ids or encode.ids_of(c)) >> 2 for c, ids in zip(chunks, map(encode.cache.get, chunks))]
+        words = np.arange(len(chunks))
+        large = [i for i, n in enumerate(ends) if n > 12 and (n > 60 or sizes[i] > _UNIT or not chunks[i].isascii())]
+        if large:
+            more = np.zeros(len(chunks), dtype=np.int64)
+            for i in reversed(large):
+                own: list[int] = []
+                counts: list[int] = []
+                for word in encode.split(chunks[i]):
+                    ids = encode.ids_of(word)
+                    if len(ids) <= 4 * _UNIT:
+                        own.append(len(word))
+                        counts.append(len(ids) >> 2)
                     else:
-                        self._cut(word, ends, sizes)
-            words.append(len(ends) - 2)
-        self.ends, self.tokens, self.words = np.cumsum(ends), np.cumsum(sizes), words
+                        self._cut(ids, own, counts)
+                ends[i : i + 1], sizes[i : i + 1] = own, counts
+                more[i] = len(own) - 1
+            words = words + np.cumsum(more)
+        self.ends, self.tokens, self.words = np.cumsum([0, *ends]), np.cumsum([0, *sizes]), words
 
-    def _cut(self, word: str, ends: list[int], sizes: list[int]) -> None:
+    def _cut(self, ids: bytes, ends: list[int], sizes: list[int]) -> None:
         part, n = b"", 0
-        for token in self.encode.encode(word):
+        for token in array("i", ids):
             piece = self.encode.vocabulary.bytes_of[token]
             if n >= _UNIT and piece[0] & 0xC0 != 0x80:
                 ends.append(len(part.decode("utf-8")))
@@ -103,30 +108,44 @@ class Units:
         return start, have
 
     def boundaries(self) -> np.ndarray:
-        """Strength of the boundary at the end of each unit."""
+        """Strength of the boundary at the end of each unit, clauses aside."""
         strength = np.full(len(self), NONE, dtype=np.int8)
         strength[self.words] = WORD
-        text = self.text
-        found = [(m.end(), CLAUSE) for m in _CLAUSE.finditer(text)]
-        found += [(m.end(), PARAGRAPH if m.group(1) else LINE if m.group(2) else SENTENCE) for m in _NATURAL.finditer(text)]
-        if found:
-            at, grade = np.array(found).T
-            # A single space belongs to the word that follows, as it does in the tokens.
-            unit = np.searchsorted(self.ends, at)
-            missed = (self.ends[np.minimum(unit, len(self))] != at) & np.array([text[e - 1] == " " for e in at.tolist()])
-            unit[missed] = np.searchsorted(self.ends, at[missed] - 1)
-            right = (self.ends[np.minimum(unit, len(self))] == at - missed) & (unit > 0)
-            np.maximum.at(strength, unit[right] - 1, grade[right].astype(np.int8))
+        found = []
+        for m in _BREAK.finditer(self.text):
+            mark = m.group()
+            lines = mark.count("\n")
+            if lines or mark[-1].isspace() or mark[0] in "。！？":
+                found.append((m.end(), PARAGRAPH if lines > 1 else LINE if lines or "\r" in mark else SENTENCE))
+        self._mark(strength, found)
         return strength
 
+    def mark_clauses(self, strength: np.ndarray, first: int, last: int) -> None:
+        """Add the boundaries of clauses within units ``first`` to ``last - 1``."""
+        self._mark(strength, [(m.end(), CLAUSE) for m in _CLAUSE.finditer(self.text, self.ends[first], self.ends[last])])
 
-def atoms(units: Units, strength: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    def _mark(self, strength: np.ndarray, found: list[tuple[int, int]]) -> None:
+        if not found:
+            return
+        at, grade = np.array(found).T
+        # A single space belongs to the word that follows, as it does in the tokens.
+        unit = np.searchsorted(self.ends, at)
+        missed = (self.ends[np.minimum(unit, len(self))] != at) & np.array([self.text[e - 1] == " " for e in at.tolist()])
+        unit[missed] = np.searchsorted(self.ends, at[missed] - 1)
+        right = (self.ends[np.minimum(unit, len(self))] == at - missed) & (unit > 0)
+        np.maximum.at(strength, unit[right] - 1, grade[right].astype(np.int8))
+
+
+Segments = list[tuple[int, int, int]]
+
+
+def atoms(units: Units, strength: np.ndarray, most: int) -> Segments:
     """(end unit, tokens, strength of the boundary there) of the segments, each of at most ``most`` tokens.
 
     Cuts at sentences and stronger boundaries; a segment above ``most`` is cut at its clauses, what
     is still above at its words, and then anywhere.
     """
-    out: list[tuple[int, int, int]] = []
+    out: Segments = []
     tokens = units.tokens
 
     def take(first: int, last: int, level: int) -> None:
@@ -134,16 +153,27 @@ def atoms(units: Units, strength: np.ndarray, most: int) -> list[tuple[int, int,
         if n <= most or level < NONE:
             out.append((last, n, int(strength[last - 1])))
             return
+        if level == CLAUSE:
+            units.mark_clauses(strength, first, last)
         for end in (np.flatnonzero(strength[first : last - 1] >= level) + first + 1).tolist() + [last]:
             take(first, end, {SENTENCE: CLAUSE, CLAUSE: WORD, WORD: NONE, NONE: NONE - 1}[level])
             first = end
 
-    take(0, len(units), SENTENCE) if tokens[-1] > most else out.append((len(units), int(tokens[-1]), PARAGRAPH))
+    if tokens[-1] <= most:
+        return [(len(units), int(tokens[-1]), PARAGRAPH)]
+    ends = np.append(np.flatnonzero(strength[:-1] >= SENTENCE) + 1, len(units))
+    sizes = np.diff(tokens[ends], prepend=0)
+    if sizes.max() <= most:
+        return list(zip(ends.tolist(), sizes.tolist(), strength[ends - 1].tolist()))
+    first = 0
+    for end in ends.tolist():
+        take(first, end, CLAUSE)
+        first = end
     return out
 
 
-def merge(segments: list[tuple[int, int, int]], most: int) -> list[int]:
-    """Ends of the pieces after merging neighbours across the weakest boundaries while they hold at most ``most`` tokens.
+def merge(segments: Segments, most: int) -> Segments:
+    """The segments left after merging neighbours across the weakest boundaries while they hold at most ``most`` tokens.
 
     Among equal boundaries the smaller pair goes first, then the earlier one.
     """
@@ -167,45 +197,52 @@ def merge(segments: list[tuple[int, int, int]], most: int) -> list[int]:
         k = after[j]
         if k < n and total + size[k] <= most:
             heapq.heappush(heap, (segments[j][2], total + size[k], j, k))
-    return [segments[i][0] for i in range(n) if alive[i]]
+    return [(segments[i][0], size[i], segments[i][2]) for i in range(n) if alive[i]]
 
 
-def split_text(text: str | None, most: int, overlap: int, encode: Encoder, known: tuple[Units, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
-    """(start, own start, end, tokens) of the pieces of a text of more than ``most`` tokens, else none.
+def split_text(text: str | None, limits: list[tuple[int, int]], encode: Encoder) -> list[list[tuple[int, int, int, int]]]:
+    """For each (most tokens, overlap): (start, own start, end, tokens) of the pieces of a text above that limit, else none.
 
     A piece is ``text[start:end]``; what lies before its own start is the overlap with the piece
     before: ``overlap`` tokens, more only where a whole character or white space needs it, fewer
     only where no more text lies before. Own parts together are the text. No piece has more than
-    ``most`` tokens. ``known`` are the text's units and boundaries, if there already.
+    ``most`` tokens. A larger limit goes on merging where a smaller one had to stop.
     """
-    if not 0 <= overlap <= most - 2 * _UNIT:
-        raise ValueError("the overlap must leave room in a piece")
-    if not text:
-        return []
-    units, strength = known or ((u := Units(text, encode)), u.boundaries())
-    if units.tokens[-1] <= most:
-        return []
-    room = most - overlap - (_SLACK if overlap else 0)
-    out: list[tuple[int, int, int, int]] = []
-
-    def fit(first: int, last: int) -> None:
-        begin, shared = units.overlap(first, overlap)
-        n = shared + units.count(first, last)
-        if n <= most or last - first == 1:
-            out.append((begin, int(units.ends[first]), int(units.ends[last]), n))
-            return
-        inner = strength[first : last - 1]
-        middle = first + 1 + int(max(np.flatnonzero(inner == inner.max()).tolist(), key=lambda i: -abs(2 * i + 2 - (last - first))))
-        fit(first, middle)
-        fit(middle, last)
-
-    first = 0
-    for last in merge(atoms(units, strength, room), room):
-        fit(first, last)
-        first = last
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in limits]
+    if not all(0 <= overlap <= most - 2 * _UNIT for most, overlap in limits):
+        raise ValueError("an overlap must leave room in a piece")
+    if not text or not limits or len(text.encode("utf-8")) <= min(most for most, _ in limits):
+        return out
+    units = Units(text, encode)
+    total, strength, segments = int(units.tokens[-1]), None, None
+    for most, overlap, i in sorted((most, overlap, i) for i, (most, overlap) in enumerate(limits)):
+        if total <= most:
+            break
+        room = most - overlap - (_SLACK if overlap else 0)
+        if segments is None or max(n for _, n, _ in segments) > room:
+            strength = units.boundaries()
+            segments = atoms(units, strength, room)
+        segments = merge(segments, room)
+        first = 0
+        for last, _, _ in segments:
+            _fit(units, strength, first, last, most, overlap, out[i])
+            first = last
     return out
 
 
+def _fit(units: Units, strength: np.ndarray, first: int, last: int, most: int, overlap: int, out: list[tuple[int, int, int, int]]) -> None:
+    """Add the piece, cut at its best inner boundary if its overlap makes it too large after all."""
+    begin, shared = units.overlap(first, overlap)
+    n = shared + units.count(first, last)
+    if n <= most or last - first == 1:
+        out.append((begin, int(units.ends[first]), int(units.ends[last]), n))
+        return
+    inner = strength[first : last - 1]
+    middle = first + 1 + int(max(np.flatnonzero(inner == inner.max()).tolist(), key=lambda i: -abs(2 * i + 2 - (last - first))))
+    _fit(units, strength, first, middle, most, overlap, out)
+    _fit(units, strength, middle, last, most, overlap, out)
+
+
 def split_texts(df: DataFrame, limits: list[tuple[int, int, int]], id_col: str = "doc_id", text_col: str = "text", directory: str = TOKENIZER_DIR) -> DataFrame:
     """(limit_id, id, piece, start, own_start, end, n_tokens, text): the pieces of every text above a limit.
 
@@ -215,7 +252,7 @@ def split_texts(df: DataFrame, limits: list[tuple[int, int, int]], id_col: str =
     empty table gives an empty result. No shuffle.
     """
 
-    least = min((most for _, most, _ in limits), default=0)
+    sizes = [(most, overlap) for _, most, overlap in limits]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(directory)
@@ -224,10 +261,8 @@ def split_texts(df: DataFrame, limits: list[tuple[int, int, int]], id_col: str =
                 part = batch.slice(first, 200)
                 at, out = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    units = Units(text, encode)
-                    known = units, units.boundaries() if units.tokens[-1] > least else np.zeros(0)
-                    for limit_id, most, overlap in limits:
-                        for k, (start, own, end, n) in enumerate(split_text(text, most, overlap, encode, known)):
+                    for (limit_id, _, _), pieces in zip(limits, split_text(text, sizes, encode)):
+                        for k, (start, own, end, n) in enumerate(pieces):
                             at.append(i)
                             out.append((limit_id, k, start, own, end, n, text[start:end]))
                 columns = list(zip(*out)) or [()] * 7
