@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import copies, encode, identities, mojibake, natlang, packing, splitting, term_counts
+from scholia.llm import copies, encode, identities, mojibake, natlang, packing, pii, splitting, term_counts
 from scholia.plans.tables import table
 
 
@@ -58,6 +58,28 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     return identities.link(table(spark, d, "git_users"))
 
 
+def _private_fields() -> dict:
+    email = F.col("git_user.email")
+    # An address alone holds no other detail, and itself is no case in this field.
+    return {"text": F.col("text"), "label": F.col("label"), "email": F.when(~email.rlike(r"^[\w.+'-]*@[\w.-]*$"), email)}
+
+
+def _private_model(spark: SparkSession, d: str) -> pii.Model:
+    tasks = table(spark, d, "tasks")
+    return pii.train(tasks, "task_id", _private_fields(), table(spark, d, "git_users").select("name").unionByName(tasks.select("git_user.name")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_private(table(spark, d, "tasks"), _private_model(spark, d), "task_id", _private_fields())
+    return found.where((F.col("field") != "email") | F.col("kind").isin("phone", "id_number", "person_name")).select("task_id", "field", "kind").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The fields with each private detail replaced by a placeholder of its kind."""
+    fields = _private_fields() | {"email": F.col("git_user.email")}
+    return pii.redact(table(spark, d, "tasks"), _private_model(spark, d), "task_id", fields)
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     fields = {"label": term_counts.split_terms(F.col("label")), "type": term_counts.whole_value(F.col("type"))}
     return term_counts.count_terms(table(spark, d, "tasks"), fields)
@@ -103,7 +125,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_entities, p6_found, p6_terms, p6_ngrams, p7_ids, p8_containers, p8_fill, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_shares, p3_found, p3_records, p4_found, p4_entities, p5_found, p5_redacted, p6_found, p6_terms, p6_ngrams, p7_ids, p8_containers, p8_fill, p9_pieces)
 }
 
 _SEPARATORS = term_counts.SEPARATORS
