@@ -54,10 +54,11 @@ class Vocabulary:
             self.halves[whole] = names[a], names[b]
             self.merged[names[a], names[b]] = whole
         self.bytes_of = {i: b for b, i in self.id_of.items()}
-        #: The longest token that ends in each pair of bytes: bounds the search at a position.
+        #: The longest token that ends in each triple of bytes: bounds the search at a position.
         self.longest: dict[bytes, int] = {}
         for b in self.id_of:
-            self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
+            if len(b) > 2:
+                self.longest[b[-3:]] = max(self.longest.get(b[-3:], 2), len(b))
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` apart when their bytes stand side by side.
@@ -106,7 +107,7 @@ class PrefixEncoder:
         data = bytes(self.text)
         id_of, longest, may_follow = v.id_of, v.longest, v.may_follow
         for end in range(len(last), len(data) + 1):
-            start = max(0, end - longest.get(data[max(0, end - 2) : end], 1))
+            start = max(0, end - longest.get(data[max(0, end - 3) : end], 2))
             while True:
                 token = id_of.get(data[start:end])
                 if token is not None and (start == 0 or may_follow(last[start], token)):

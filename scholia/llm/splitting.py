@@ -8,6 +8,7 @@ fits the limit. What is left are the pieces, each preceded by the overlap.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 from array import array
@@ -42,7 +43,7 @@ class Units:
     def __init__(self, text: str, encode: Encoder):
         self.text, self.encode = text, encode
         chunks = encode.split(text) if encode.separators(text) else encode.chunk(text)
-        ends, sizes = list(map(len, chunks)), [len(ids or encode.ids_of(c)) >> 2 for c, ids in zip(chunks, map(encode.cache.get, chunks))]
+        ends, sizes = list(map(len, chunks)), [len(ids or (encode.ids_of(c) if len(c) <= 60 else b"")) >> 2 for c, ids in zip(chunks, map(encode.cache.get, chunks))]
         words = np.arange(len(chunks))
         large = [i for i, n in enumerate(ends) if n > 12 and (n > 60 or sizes[i] > _UNIT or not chunks[i].isascii())]
         if large:
@@ -60,7 +61,8 @@ class Units:
                 ends[i : i + 1], sizes[i : i + 1] = own, counts
                 more[i] = len(own) - 1
             words = words + np.cumsum(more)
-        self.ends, self.tokens, self.words = np.cumsum([0, *ends]), np.cumsum([0, *sizes]), words
+        self.end_at, self.tokens_at, self.words = np.cumsum([0, *ends]), np.cumsum([0, *sizes]), words
+        self.ends, self.tokens = self.end_at.tolist(), self.tokens_at.tolist()
 
     def _cut(self, ids: bytes, ends: list[int], sizes: list[int]) -> None:
         part, n = b"", 0
@@ -78,62 +80,58 @@ class Units:
     def __len__(self) -> int:
         return len(self.ends) - 1
 
-    def is_space(self, unit: int) -> bool:
-        return self.text[self.ends[unit] : self.ends[unit + 1]].isspace()
-
     def count(self, first: int, last: int) -> int:
         """Tokens of units ``first`` to ``last - 1`` as a text of their own: white space at its end is one run there."""
-        tail = last
-        while tail > first and self.is_space(tail - 1):
+        ends, text, tail = self.ends, self.text, last
+        while tail > first and text[ends[tail] - 1].isspace() and text[ends[tail - 1] : ends[tail]].isspace():
             tail -= 1
-        n = int(self.tokens[tail] - self.tokens[first])
-        return n + (self.encode.count(self.text[self.ends[tail] : self.ends[last]]) if tail < last else 0)
+        n = self.tokens[tail] - self.tokens[first]
+        return n + (self.encode.count(text[ends[tail] : ends[last]]) if tail < last else 0)
 
     def overlap(self, at: int, wanted: int) -> tuple[int, int]:
         """(character offset, tokens) of the ``wanted`` tokens before unit ``at``; more only for a whole character, word end or space."""
         if not wanted or not at:
-            return int(self.ends[at]), 0
-        goal = int(self.tokens[at]) - wanted
-        unit = max(0, int(np.searchsorted(self.tokens, goal, side="right")) - 1)
-        have = int(self.tokens[at] - self.tokens[unit])
-        start, end = int(self.ends[unit]), int(self.ends[unit + 1])
-        word = self.text[start:end]
+            return self.ends[at], 0
+        unit = max(0, bisect.bisect_right(self.tokens, self.tokens[at] - wanted) - 1)
+        have = self.tokens[at] - self.tokens[unit]
+        start, end = self.ends[unit], self.ends[unit + 1]
         drop = have - wanted
-        if drop > 0 and not word.isspace() and "'" not in word:
-            pieces = [self.encode.vocabulary.bytes_of[i] for i in self.encode.encode(word)]
-            while drop and pieces[drop][0] & 0xC0 == 0x80:
-                drop -= 1
-            if drop:
-                return end - len(b"".join(pieces[drop:]).decode("utf-8")), have - drop
+        if drop > 0:
+            word = self.text[start:end]
+            if not word.isspace() and "'" not in word:
+                pieces = [self.encode.vocabulary.bytes_of[i] for i in array("i", self.encode.ids_of(word))]
+                while drop and pieces[drop][0] & 0xC0 == 0x80:
+                    drop -= 1
+                if drop:
+                    return end - len(b"".join(pieces[drop:]).decode("utf-8")), have - drop
         return start, have
 
     def boundaries(self) -> np.ndarray:
         """Strength of the boundary at the end of each unit, clauses aside."""
         strength = np.full(len(self), NONE, dtype=np.int8)
         strength[self.words] = WORD
-        found = []
+        found, last = [], len(self.text)
         for m in _BREAK.finditer(self.text):
-            mark = m.group()
+            mark, end = m.group(), m.end()
             lines = mark.count("\n")
             if lines or mark[-1].isspace() or mark[0] in "。！？":
-                found.append((m.end(), PARAGRAPH if lines > 1 else LINE if lines or "\r" in mark else SENTENCE))
+                # A single space belongs to the word that follows, as it does in the tokens.
+                found.append((end - (mark[-1] == " " and end < last), PARAGRAPH if lines > 1 else LINE if lines or "\r" in mark else SENTENCE))
         self._mark(strength, found)
         return strength
 
     def mark_clauses(self, strength: np.ndarray, first: int, last: int) -> None:
         """Add the boundaries of clauses within units ``first`` to ``last - 1``."""
-        self._mark(strength, [(m.end(), CLAUSE) for m in _CLAUSE.finditer(self.text, self.ends[first], self.ends[last])])
+        spans = ((m.end(), self.text[m.end() - 1]) for m in _CLAUSE.finditer(self.text, self.ends[first], self.ends[last]))
+        self._mark(strength, [(end - (mark == " "), CLAUSE) for end, mark in spans])
 
     def _mark(self, strength: np.ndarray, found: list[tuple[int, int]]) -> None:
-        if not found:
-            return
-        at, grade = np.array(found).T
-        # A single space belongs to the word that follows, as it does in the tokens.
-        unit = np.searchsorted(self.ends, at)
-        missed = (self.ends[np.minimum(unit, len(self))] != at) & np.array([self.text[e - 1] == " " for e in at.tolist()])
-        unit[missed] = np.searchsorted(self.ends, at[missed] - 1)
-        right = (self.ends[np.minimum(unit, len(self))] == at - missed) & (unit > 0)
-        np.maximum.at(strength, unit[right] - 1, grade[right].astype(np.int8))
+        """Boundaries that do not fall between two units are none."""
+        if found:
+            at, grade = np.array(found).T
+            unit = np.searchsorted(self.end_at, at)
+            right = (self.end_at[np.minimum(unit, len(self))] == at) & (unit > 0)
+            np.maximum.at(strength, unit[right] - 1, grade[right].astype(np.int8))
 
 
 Segments = list[tuple[int, int, int]]
@@ -146,7 +144,7 @@ def atoms(units: Units, strength: np.ndarray, most: int) -> Segments:
     is still above at its words, and then anywhere.
     """
     out: Segments = []
-    tokens = units.tokens
+    tokens = units.tokens_at
 
     def take(first: int, last: int, level: int) -> None:
         n = int(tokens[last] - tokens[first])
@@ -178,26 +176,33 @@ def merge(segments: Segments, most: int) -> Segments:
     Among equal boundaries the smaller pair goes first, then the earlier one.
     """
     n = len(segments)
-    size = [s[1] for s in segments]
+    ends, size, strength = (list(column) for column in zip(*segments))
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(segments[i][2], size[i] + size[i + 1], i, i + 1) for i in range(n - 1) if size[i] + size[i + 1] <= most]
+    # One number orders a pair: strength, then size, then the left segment.
+    heap = [(s << 62) + (a + b << 32) + i for i, (s, a, b) in enumerate(zip(strength, size, size[1:])) if a + b <= most]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, total, i, j = heapq.heappop(heap)
-        if not (alive[i] and j < n and alive[j] and after[i] == j and size[i] + size[j] == total):
+        pair = pop(heap)
+        i = pair & 0xFFFFFFFF
+        j = after[i]
+        if not alive[i] or j >= n:
+            continue
+        total = size[i] + size[j]
+        if (pair >> 32) & 0x3FFFFFFF != total:
             continue
         # The merged segment lives on as j, whose end and boundary are the later ones.
         alive[i] = False
         size[j] = total
-        before[j] = before[i]
-        if before[j] >= 0:
-            after[before[j]] = j
-            if size[before[j]] + total <= most:
-                heapq.heappush(heap, (segments[before[j]][2], size[before[j]] + total, before[j], j))
+        h = before[j] = before[i]
+        if h >= 0:
+            after[h] = j
+            if size[h] + total <= most:
+                push(heap, (strength[h] << 62) + (size[h] + total << 32) + h)
         k = after[j]
         if k < n and total + size[k] <= most:
-            heapq.heappush(heap, (segments[j][2], total + size[k], j, k))
-    return [(segments[i][0], size[i], segments[i][2]) for i in range(n) if alive[i]]
+            push(heap, (strength[j] << 62) + (total + size[k] << 32) + j)
+    return [(ends[i], size[i], strength[i]) for i in range(n) if alive[i]]
 
 
 def split_text(text: str | None, limits: list[tuple[int, int]], encode: Encoder) -> list[list[tuple[int, int, int, int]]]:
@@ -214,7 +219,7 @@ def split_text(text: str | None, limits: list[tuple[int, int]], encode: Encoder)
     if not text or not limits or len(text.encode("utf-8")) <= min(most for most, _ in limits):
         return out
     units = Units(text, encode)
-    total, strength, segments = int(units.tokens[-1]), None, None
+    total, strength, segments = units.tokens[-1], None, None
     for most, overlap, i in sorted((most, overlap, i) for i, (most, overlap) in enumerate(limits)):
         if total <= most:
             break
@@ -235,7 +240,7 @@ def _fit(units: Units, strength: np.ndarray, first: int, last: int, most: int, o
     begin, shared = units.overlap(first, overlap)
     n = shared + units.count(first, last)
     if n <= most or last - first == 1:
-        out.append((begin, int(units.ends[first]), int(units.ends[last]), n))
+        out.append((begin, units.ends[first], units.ends[last], n))
         return
     inner = strength[first : last - 1]
     middle = first + 1 + int(max(np.flatnonzero(inner == inner.max()).tolist(), key=lambda i: -abs(2 * i + 2 - (last - first))))
