@@ -54,6 +54,9 @@ class Vocabulary:
             self.halves[whole] = names[a], names[b]
             self.merged[names[a], names[b]] = whole
         self.bytes_of = {i: b for b, i in self.id_of.items()}
+        self.size_of = {i: len(b) for b, i in self.id_of.items()}
+        #: What is known of ``may_follow``.
+        self.pairs: dict[int, bool] = {}
         #: The longest token that ends in each triple of bytes: bounds the search at a position.
         self.longest: dict[bytes, int] = {}
         for b in self.id_of:
@@ -89,6 +92,30 @@ class Vocabulary:
                 right = halves[right][0]
 
 
+def extend_last_tokens(v: Vocabulary, data: bytes, last: list[int]) -> None:
+    """Continue ``last``, the last token of each prefix of ``data`` (-1 for the empty one), to the whole of ``data``."""
+    find, longest, pairs, may_follow = v.id_of.get, v.longest.get, v.pairs, v.may_follow
+    for end in range(len(last), len(data) + 1):
+        start = end - longest(data[end - 3 : end], 2) if end > 2 else 0
+        if start < 0:
+            start = 0
+        while True:
+            token = find(data[start:end])
+            if token is not None:
+                if not start:
+                    break
+                pair = (last[start] << 20) + token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) > 1_000_000:
+                        pairs.clear()
+                    fits = pairs[pair] = may_follow(last[start], token)
+                if fits:
+                    break
+            start += 1
+        last.append(token)
+
+
 class PrefixEncoder:
     """The last token of every prefix of one byte string, with exact appends and edits.
 
@@ -102,18 +129,8 @@ class PrefixEncoder:
         self.append(text)
 
     def append(self, more: bytes) -> None:
-        v, last = self.vocabulary, self.last
         self.text += more
-        data = bytes(self.text)
-        id_of, longest, may_follow = v.id_of, v.longest, v.may_follow
-        for end in range(len(last), len(data) + 1):
-            start = max(0, end - longest.get(data[max(0, end - 3) : end], 2))
-            while True:
-                token = id_of.get(data[start:end])
-                if token is not None and (start == 0 or may_follow(last[start], token)):
-                    last.append(token)
-                    break
-                start += 1
+        extend_last_tokens(self.vocabulary, bytes(self.text), self.last)
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replace bytes ``start:end`` by ``new``; prefixes before ``start`` are kept."""
@@ -152,10 +169,20 @@ class Encoder:
     def _encode_word(self, word: str) -> bytes:
         data = word.encode("utf-8")
         whole = self.vocabulary.id_of.get(data)
-        return array("i", [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).ids()).tobytes()
+        if whole is not None:
+            return array("i", (whole,)).tobytes()
+        last = [-1]
+        extend_last_tokens(self.vocabulary, data, last)
+        at, ids, size = len(data), [], self.vocabulary.size_of
+        while at:
+            ids.append(last[at])
+            at -= size[last[at]]
+        ids.reverse()
+        return array("i", ids).tobytes()
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        words = self.split(chunk)
+        # Letters with a space before them are one pre-token.
+        words = [chunk] if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha() else self.split(chunk)
         out = []
         for word in words:
             ids = self.cache.get(word)
