@@ -22,14 +22,12 @@ _DROP = r"(?<!\p{Nd})[^\p{L}\p{N}]|[^\p{L}\p{N}](?!\p{Nd})|[\s\p{Z}\p{C}]"
 
 
 def _fold(column: Column) -> Column:
-    return F.lower(F.upper(column))
+    """Upper case: the one case that joins sharp s with SS and dotless i with i; the dotted capital I is joined too."""
+    return F.replace(F.upper(column), F.lit("İ"), F.lit("I"))
 
 
 def _letters_and_digits(column: Column) -> Column:
-    """Folded letters and digits, and a single mark that stands between two digits.
-
-    A double fold is stable for letters whose upper case is ambiguous: sharp s, dotless i.
-    """
+    """Folded letters and digits, and a single mark that stands between two digits."""
     return F.regexp_replace(_fold(column), _DROP, "")
 
 
@@ -46,7 +44,7 @@ def message_tuple(message: Column, names: tuple[str, ...] = FIELD_NAMES) -> Colu
         name = _fold(F.regexp_extract(item, r"^\w+", 0))
         number = F.lit(0)
         for n, i in name_at.items():
-            number = F.when(name == n, i).otherwise(number)
+            number = F.when(name == n.upper(), i).otherwise(number)
         value = _letters_and_digits(F.regexp_replace(item, r"^\w+[\s\p{Z}]*[=:]", ""))
         return F.shiftleft(number.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(value), 8))
 
