@@ -187,7 +187,7 @@ class Model:
             gain = min(gain, (after.mean() - before.mean()) * len(after))
         return float(gain)
 
-    def detect(self, text: str | None) -> tuple[str, str | None] | None:
+    def detect(self, text: str | None, again: int = 3) -> tuple[str, str | None] | None:
         """(chain, restored text) of a garbled text, None for a clean one.
 
         The restored text is null where characters are lost. A garbled character that stands alone
@@ -206,7 +206,12 @@ class Model:
         if total[best] < THRESHOLD:
             return None
         chain = self.chains[best]
-        return name(chain), " ".join(self.word(w)[1].get(best, w) if not w.isascii() else w for w in text.split(" "))
+        back = " ".join(self.word(w)[1].get(best, w) if not w.isascii() else w for w in text.split(" "))
+        # What was garbled more than once may come out garbled once less.
+        inner = self.detect(back, again - 1) if back != text and again else None
+        if inner and inner[1] is not None and inner[0].startswith("utf-8") and chain[0][0] == "utf-8":
+            return f"{inner[0]} > {name(chain)}", inner[1]
+        return name(chain), back
 
 
 def fit(texts: Sequence[str], per_chain: int = PER_CHAIN, rounds: int = 2) -> Model:
