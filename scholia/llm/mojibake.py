@@ -144,7 +144,7 @@ class Model:
     clean: np.ndarray
 
     def __post_init__(self) -> None:
-        self._words: dict[str, tuple[np.ndarray, dict[int, str]]] = {}
+        self._words: dict[str, tuple[np.ndarray, dict[int, tuple[str, float]]]] = {}
 
     def __getstate__(self):
         return {"chains": self.chains, "odds": self.odds, "clean": self.clean}
@@ -153,8 +153,8 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def word(self, word: str) -> tuple[np.ndarray, dict[int, str]]:
-        """For each chain what the word says for it, zero if not in favour or not strictly decodable; and the restored forms."""
+    def word(self, word: str) -> tuple[np.ndarray, dict[int, tuple[str, float]]]:
+        """For each chain what the word says for it, zero if not in favour or not strictly decodable; and the restored forms with how much more probable they are."""
         found = self._words.get(word)
         if found is None:
             here = _buckets(word)
@@ -166,7 +166,7 @@ class Model:
                 gain = -1.0 if back is None or back == word else self._gain(as_it_is, self.clean[_buckets(back)], self.chains[c])
                 odds[c] = min(odds[c], gain)
                 if gain > 0:
-                    restored[int(c)] = back
+                    restored[int(c)] = back, gain
             found = np.maximum(odds, 0), restored
             if len(self._words) > 100_000:
                 self._words.clear()
@@ -205,8 +205,12 @@ class Model:
         best = int(total.argmax())
         if total[best] < THRESHOLD:
             return None
+        # Chains that explain the words about as well are told apart by what they restore.
+        rivals = np.flatnonzero(total >= 0.6 * total[best]).tolist()
+        if len(rivals) > 1:
+            best = max(rivals, key=lambda c: (sum(self.word(w)[1].get(c, ("", 0.0))[1] for w in words), total[c]))
         chain = self.chains[best]
-        back = " ".join(self.word(w)[1].get(best, w) if not w.isascii() else w for w in text.split(" "))
+        back = " ".join(self.word(w)[1].get(best, (w,))[0] if not w.isascii() else w for w in text.split(" "))
         # What was garbled more than once may come out garbled once less.
         inner = self.detect(back, again - 1) if back != text and again else None
         if inner and inner[1] is not None and inner[0].startswith("utf-8") and chain[0][0] == "utf-8":

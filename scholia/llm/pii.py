@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -439,7 +440,7 @@ def redact(df: DataFrame, model: Model, id_col: str, fields: dict[str, Column])
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = list(fields)
     id_type = df.schema[id_col].dataType.simpleString()
-    maybe = re.compile(r"[@\d]|AT|\bat\b|[A-ZÀ-ÞŁŚŻ]")
+    maybe = regex.compile(SCREEN)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = shared.value.find

@@ -36,7 +36,7 @@ def test_sentences(model):
 
 def test_snippets():
     text = 'x = "a \\u00e9 \\"b\\""; // c\n/*\n * d\n * e */ "\\ud83d\\ude00"'
-    assert list(snippets(text, LANGUAGES["C"])) == ['a é "b"', "c", "\nd\ne ", "😀"]
+    assert list(snippets(text, LANGUAGES["C"])) == ['a é "b"', "c", "d\ne ", "😀"]
     assert unescape("\\u{1F600}\\x41\\n\\q") == "😀A\nq"
 
 
