@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -25,3 +26,18 @@ def materialize(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholia-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def bounded_sample(df: DataFrame, key: Column, n: int) -> list[Row]:
+    """At most ``n`` rows, those with the smallest hashes of ``key``; all rows of a table of no more.
+
+    The rows are thinned out by their hash before any are sent, so what reaches the driver is
+    bounded by ``n``, not by the number of partitions.
+    """
+    total = df.count()
+    order = F.xxhash64(key)
+    if total > n:
+        width = 1 << 40
+        df = df.where(F.pmod(order, F.lit(width)) < int(width * min(1.0, (1.2 * n + 100) / total)))
+        order = F.pmod(order, F.lit(width))
+    return df.orderBy(order).limit(n).collect()
