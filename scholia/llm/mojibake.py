@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.plans.tables import bounded_sample
+
 #: Buckets of hashed byte bigrams.
 BUCKETS = 1 << 14
 #: Log odds that all words of a text together must reach.
@@ -260,8 +262,8 @@ def fit(texts: Sequence[str], per_chain: int = PER_CHAIN, rounds: int = 2) -> Mo
 def train(df: DataFrame, id_col: str, fields: Iterable[str]) -> Model:
     """Fit on at most ``SAMPLE_TEXTS`` texts with other than ASCII characters, chosen by the hash of their ids."""
     first = next(iter(fields))
-    rows = df.where(F.col(first).rlike(r"[^\x00-\x7f]")).select(F.col(first).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(SAMPLE_TEXTS).collect()
-    return fit([r.t for r in rows])
+    odd = df.where(F.col(first).rlike(r"[^\x00-\x7f]")).select(F.col(first).alias("t"), F.col(id_col).alias("key"))
+    return fit([r.t for r in bounded_sample(odd, F.col("key"), SAMPLE_TEXTS)])
 
 
 def find_garbled(df: DataFrame, model: Model, id_col: str, fields: Sequence[str]) -> DataFrame:

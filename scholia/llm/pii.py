@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.plans.tables import bounded_sample
+
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 O, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 #: Bounds of the training sample, in rows, and rounds of training and of message passing.
@@ -394,10 +396,10 @@ def train(df: DataFrame, id_col: str, fields: dict[str, Column], names: DataFram
     per_field = max(1, SAMPLE_ROWS // (2 * max(1, len(fields) - 1)))
     texts: list[str] = []
     for i, column in enumerate(fields.values()):
-        taken = df.select(screened(column).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where("t is not null").orderBy("h").limit(SAMPLE_ROWS // 2 if i == 0 else per_field)
-        texts += [r.t for r in taken.collect()]
-    known = names.where("name is not null").groupBy("name").count().orderBy(F.desc("count"), "name").limit(SAMPLE_ROWS).collect()
-    return fit(texts, [r.name for r in known])
+        taken = df.select(screened(column).alias("t"), F.col(id_col).alias("key")).where("t is not null")
+        texts += [r.t for r in bounded_sample(taken, F.col("key"), SAMPLE_ROWS // 2 if i == 0 else per_field)]
+    known = names.where("name is not null").select("name").distinct()
+    return fit(texts, [r.name for r in bounded_sample(known, F.col("name"), SAMPLE_ROWS)])
 
 
 def find_private(df: DataFrame, model: Model, id_col: str, fields: dict[str, Column]) -> DataFrame:
