@@ -9,10 +9,12 @@ fits the limit. What is left are the pieces, each preceded by the overlap.
 from __future__ import annotations
 
 import bisect
+import gc
 import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,11 @@ class Units:
         self.text, self.encode = text, encode
         chunks = encode.split(text) if encode.separators(text) else encode.chunk(text)
         ends, sizes = list(map(len, chunks)), [len(ids or (encode.ids_of(c) if len(c) <= 60 else b"")) >> 2 for c, ids in zip(chunks, map(encode.cache.get, chunks))]
-        words = np.arange(len(chunks))
-        large = [i for i, n in enumerate(ends) if n > 12 and (n > 60 or sizes[i] > _UNIT or not chunks[i].isascii())]
+        words = None
+        if text.isascii():
+            large = [i for i, n in enumerate(ends) if n > _UNIT and (n > 60 or sizes[i] > _UNIT)]
+        else:
+            large = [i for i, n in enumerate(ends) if n > 12 and (n > 60 or sizes[i] > _UNIT or not chunks[i].isascii())]
         if large:
             more = np.zeros(len(chunks), dtype=np.int64)
             for i in reversed(large):
@@ -60,9 +65,8 @@ class Units:
                         self._cut(ids, own, counts)
                 ends[i : i + 1], sizes[i : i + 1] = own, counts
                 more[i] = len(own) - 1
-            words = words + np.cumsum(more)
-        self.end_at, self.tokens_at, self.words = np.cumsum([0, *ends]), np.cumsum([0, *sizes]), words
-        self.ends, self.tokens = self.end_at.tolist(), self.tokens_at.tolist()
+            words = np.arange(len(chunks)) + np.cumsum(more)
+        self.ends, self.tokens, self.words = list(accumulate(ends, initial=0)), list(accumulate(sizes, initial=0)), words
 
     def _cut(self, ids: bytes, ends: list[int], sizes: list[int]) -> None:
         part, n = b"", 0
@@ -108,8 +112,12 @@ class Units:
 
     def boundaries(self) -> np.ndarray:
         """Strength of the boundary at the end of each unit, clauses aside."""
-        strength = np.full(len(self), NONE, dtype=np.int8)
-        strength[self.words] = WORD
+        self.end_at, self.tokens_at = np.array(self.ends), np.array(self.tokens)
+        if self.words is None:
+            strength = np.full(len(self), WORD, dtype=np.int8)
+        else:
+            strength = np.full(len(self), NONE, dtype=np.int8)
+            strength[self.words] = WORD
         found, last = [], len(self.text)
         for m in _BREAK.finditer(self.text):
             mark, end = m.group(), m.end()
@@ -145,18 +153,6 @@ def atoms(units: Units, strength: np.ndarray, most: int) -> Segments:
     """
     out: Segments = []
     tokens = units.tokens_at
-
-    def take(first: int, last: int, level: int) -> None:
-        n = int(tokens[last] - tokens[first])
-        if n <= most or level < NONE:
-            out.append((last, n, int(strength[last - 1])))
-            return
-        if level == CLAUSE:
-            units.mark_clauses(strength, first, last)
-        for end in (np.flatnonzero(strength[first : last - 1] >= level) + first + 1).tolist() + [last]:
-            take(first, end, {SENTENCE: CLAUSE, CLAUSE: WORD, WORD: NONE, NONE: NONE - 1}[level])
-            first = end
-
     if tokens[-1] <= most:
         return [(len(units), int(tokens[-1]), PARAGRAPH)]
     ends = np.append(np.flatnonzero(strength[:-1] >= SENTENCE) + 1, len(units))
@@ -165,11 +161,24 @@ def atoms(units: Units, strength: np.ndarray, most: int) -> Segments:
         return list(zip(ends.tolist(), sizes.tolist(), strength[ends - 1].tolist()))
     first = 0
     for end in ends.tolist():
-        take(first, end, CLAUSE)
+        _take(units, strength, first, end, CLAUSE, most, out)
         first = end
     return out
 
 
+def _take(units: Units, strength: np.ndarray, first: int, last: int, level: int, most: int, out: Segments) -> None:
+    """Add units ``first`` to ``last - 1`` as one segment, or as several cut at boundaries of ``level`` and below."""
+    n = units.tokens[last] - units.tokens[first]
+    if n <= most or level < NONE:
+        out.append((last, n, int(strength[last - 1])))
+        return
+    if level == CLAUSE:
+        units.mark_clauses(strength, first, last)
+    for end in (np.flatnonzero(strength[first : last - 1] >= level) + first + 1).tolist() + [last]:
+        _take(units, strength, first, end, {CLAUSE: WORD, WORD: NONE, NONE: NONE - 1}[level], most, out)
+        first = end
+
+
 def merge(segments: Segments, most: int) -> Segments:
     """The segments left after merging neighbours across the weakest boundaries while they hold at most ``most`` tokens.
 
@@ -261,20 +270,25 @@ def split_texts(df: DataFrame, limits: list[tuple[int, int, int]], id_col: str =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(directory)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                part = batch.slice(first, 200)
-                at, out = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    for (limit_id, _, _), pieces in zip(limits, split_text(text, sizes, encode)):
-                        for k, (start, own, end, n) in enumerate(pieces):
-                            at.append(i)
-                            out.append((limit_id, k, start, own, end, n, text[start:end]))
-                columns = list(zip(*out)) or [()] * 7
-                ids = part.column(0).take(pa.array(at, pa.int32()))
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays([arrays[0], ids, *arrays[1:]], ["limit_id", "id", "piece", "start", "own_start", "end", "n_tokens", "text"])
+        # Nothing here refers to itself; looking for such garbage takes a tenth of the time.
+        gc.disable()
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 200):
+                    part = batch.slice(first, 200)
+                    at, out = [], []
+                    for i, text in enumerate(part.column(1).to_pylist()):
+                        for (limit_id, _, _), pieces in zip(limits, split_text(text, sizes, encode)):
+                            for k, (start, own, end, n) in enumerate(pieces):
+                                at.append(i)
+                                out.append((limit_id, k, start, own, end, n, text[start:end]))
+                    columns = list(zip(*out)) or [()] * 7
+                    ids = part.column(0).take(pa.array(at, pa.int32()))
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                    yield pa.RecordBatch.from_arrays([arrays[0], ids, *arrays[1:]], ["limit_id", "id", "piece", "start", "own_start", "end", "n_tokens", "text"])
+        finally:
+            gc.enable()
 
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"limit_id int, id {id_type}, piece int, start bigint, own_start bigint, end bigint, n_tokens int, text string"
