@@ -26,8 +26,9 @@ TOKENIZER_DIR = os.environ.get("SCHOLIA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pre-tokenisation pattern that belongs to the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Distinct stretches a worker remembers; on overflow it starts again, which costs time only.
-CACHE_SIZE = 400_000
+#: Distinct stretches a worker remembers, twice over: a full generation becomes the old one, and
+#: what is used again moves to the new. A larger number costs memory only, about 150 bytes each.
+CACHE_SIZE = 500_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -164,6 +165,7 @@ class Encoder:
         # White space to the standard library, but not to the pattern.
         self.separators = re.compile("[\x1c-\x1f]").search
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache_size = cache_size
 
     def _encode_word(self, word: str) -> bytes:
@@ -187,7 +189,7 @@ class Encoder:
         for word in words:
             ids = self.cache.get(word)
             if ids is None:
-                ids = self._encode_word(word)
+                ids = self.old.get(word) or self._encode_word(word)
                 self._remember(word, ids)
             out.append(ids)
         ids = b"".join(out)
@@ -198,7 +200,7 @@ class Encoder:
     def _remember(self, piece: str, ids: bytes) -> None:
         if len(piece) <= 100:
             if len(self.cache) >= self.cache_size:
-                self.cache.clear()
+                self.old, self.cache = self.cache, {}
             self.cache[piece] = ids
 
     def packed(self, text: str | None) -> bytes:
@@ -208,7 +210,7 @@ class Encoder:
         chunks = self.split(text) if self.separators(text) else self.chunk(text)
         found = list(map(self.cache.get, chunks))
         if None in found:
-            found = [self.cache.get(c) or self._encode_chunk(c) if ids is None else ids for c, ids in zip(chunks, found)]
+            found = [self.ids_of(c) if ids is None else ids for c, ids in zip(chunks, found)]
         return b"".join(found)
 
     def encode(self, text: str | None) -> list[int]:
@@ -220,7 +222,13 @@ class Encoder:
 
     def ids_of(self, piece: str) -> bytes:
         """The packed ids of one pre-token or one stretch between white space."""
-        return self.cache.get(piece) or self._encode_chunk(piece)
+        ids = self.cache.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                return self._encode_chunk(piece)
+            self._remember(piece, ids)
+        return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(self.vocabulary.bytes_of[i] for i in ids)

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scholia.llm.bpe import TOKENIZER_DIR, PrefixEncoder, encoder
+from scholia.llm.bpe import TOKENIZER_DIR, Encoder, PrefixEncoder, encoder
 from scholia.llm.encode import count_tokens, encode_corpus
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZER_DIR), reason="no vocabulary files here")
@@ -47,6 +47,12 @@ def test_appends_and_edits_are_exact(text, a, b, new):
     assert grown.ids() == PrefixEncoder(v, data[:a] + new.encode() + data[b:]).ids()
 
 
+def test_a_small_cache_changes_nothing(public):
+    small = Encoder(os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json"), cache_size=3)
+    for text in [*TEXTS, *TEXTS, "a b c d e f g h a b c d"]:
+        assert small.encode(text) == public(text)
+
+
 def test_corpus(spark, public):
     rows = [(i, t, "clash", None) for i, t in enumerate(TEXTS)] + [(50, None, "x", 1), (50, None, "x", 1), (None, "a b", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, id int")
