@@ -220,7 +220,7 @@ def split_text(text: str | None, limits: list[tuple[int, int]], encode: Encoder)
     A piece is ``text[start:end]``; what lies before its own start is the overlap with the piece
     before: ``overlap`` tokens, more only where a whole character or white space needs it, fewer
     only where no more text lies before. Own parts together are the text. No piece has more than
-    ``most`` tokens. A larger limit goes on merging where a smaller one had to stop.
+    ``most`` tokens. Every limit merges from the atoms; its pieces do not depend on the other limits.
     """
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in limits]
     if not all(0 <= overlap <= most - 2 * _UNIT for most, overlap in limits):
@@ -228,17 +228,17 @@ def split_text(text: str | None, limits: list[tuple[int, int]], encode: Encoder)
     if not text or not limits or len(text.encode("utf-8")) <= min(most for most, _ in limits):
         return out
     units = Units(text, encode)
-    total, strength, segments = units.tokens[-1], None, None
-    for most, overlap, i in sorted((most, overlap, i) for i, (most, overlap) in enumerate(limits)):
+    total, natural = units.tokens[-1], None
+    for i, (most, overlap) in enumerate(limits):
         if total <= most:
-            break
+            continue
         room = most - overlap - (_SLACK if overlap else 0)
-        if segments is None or max(n for _, n, _ in segments) > room:
-            strength = units.boundaries()
-            segments = atoms(units, strength, room)
-        segments = merge(segments, room)
+        if natural is None:
+            natural = units.boundaries()
+        # Atoms mark the clauses they need; those of one limit are not another's.
+        strength = natural.copy()
         first = 0
-        for last, _, _ in segments:
+        for last, _, _ in merge(atoms(units, strength, room), room):
             _fit(units, strength, first, last, most, overlap, out[i])
             first = last
     return out

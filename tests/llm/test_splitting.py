@@ -55,3 +55,12 @@ def test_table(spark):
     assert split_texts(df.limit(0), [(7, 128, 16)]).count() == 0
     with pytest.raises(ValueError):
         split_text("x", [(100, 90)], encoder())
+
+
+@pytest.mark.parametrize("unit", ["The cat sat down. ", "one, two; three four five, six\n", "A line of words here\nand one more. "])
+def test_pieces_of_a_limit_do_not_depend_on_the_others(unit):
+    encode = encoder()
+    text = "\n\n".join(unit * (1 + 7 * i % 13) + "word, " * (i * 31 % 90) for i in range(40))
+    limits = [(128, 16), (512, 64), (1024, 128), (80, 0)]
+    for limit, pieces in zip(limits, split_text(text, limits, encode)):
+        assert pieces and pieces == split_text(text, [limit], encode)[0]
