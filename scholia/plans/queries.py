@@ -39,10 +39,9 @@ def _query(sql: str | None = None, name: str | None = None):
 
 
 def _comments(spark: SparkSession, d: str) -> DataFrame:
-    """Comments of the files the record covers, line ends unified, repeated rows once."""
-    files = table(spark, d, "source_files").select("file_id", "path", "content")
-    covered = files.join(table(spark, d, "comments").select("file_id").distinct(), "file_id", "left_semi")
-    found = comments_of(covered.withColumnRenamed("path", "p"), "p", "content", ("file_id",))
+    """Comments of all files, line ends unified, repeated rows once; the record, and so the SQL, lacks some files."""
+    files = table(spark, d, "source_files").select("file_id", F.col("path").alias("p"), "content")
+    found = comments_of(files, "p", "content", ("file_id",))
     return found.withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))).select("file_id", "text", "line", "multiline", "start_tok", "end_tok").distinct()
 
 
@@ -76,8 +75,7 @@ def _of_extension(*extensions: str):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         files = table(spark, d, "source_files").select("file_id", F.col("path").alias("p"), "content").where(F.regexp_extract("p", "[.]([a-z]+)$", 1).isin(*extensions))
-        covered = files.join(table(spark, d, "comments").select("file_id").distinct(), "file_id", "left_semi")
-        return comments_of(covered, "p", "content", ("file_id",)).select("file_id", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"), "line").distinct()
+        return comments_of(files, "p", "content", ("file_id",)).select("file_id", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"), "line").distinct()
 
     return sql, run
 

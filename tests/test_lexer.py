@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from scholia.functions.langs import LANGUAGES, language_of, rules_of
 from scholia.operators.lexer import comments_of, scan
+from scholia.plans.queries import QUERIES
 
 
 def comments(language, text):
@@ -91,3 +94,41 @@ def test_comments_of_a_table(spark):
     assert comments_of(df, "p", "c", lang="c++").where("lang = 'C++'").count() == 4
     with pytest.raises(ValueError):
         comments_of(df, "p", "c", lang="no such language")
+
+
+_MARKS = {"py": "#", "rb": "#", "sh": "#", "yaml": "#", "lua": "--", "hs": "--", "sql": "--", **dict.fromkeys(("php", "rs", "c", "java", "js", "go", "tsx"), "//")}
+_EXTENSIONS = {
+    **{n: set(_MARKS) | {"ml", "html"} for n in ("comments", "line_comments", "block_comments", "comment_lines")},
+    "html_comments": {"html"}, "generic_fallback": {"tsx"}, "lang_python": {"py"}, "lang_ruby": {"rb"}, "lang_lua": {"lua"}, "lang_haskell": {"hs"}, "lang_ocaml": {"ml"},
+    "lang_sql": {"sql"}, "lang_php": {"php"}, "lang_rust": {"rs"}, "lang_shell": {"sh", "yaml"}, "lang_c_family": {"c", "java", "js", "go"},
+}
+
+
+@pytest.fixture(scope="module")
+def recorded(spark, tmp_path_factory):
+    """Two files of each extension; the record of the earlier scan lists only the first."""
+    root, files = str(tmp_path_factory.mktemp("recorded")), []
+    for e in sorted([*_MARKS, "ml", "html"]):
+        start, end = (_MARKS[e], "") if e in _MARKS else ("(* ", " *)") if e == "ml" else ("<!-- ", " -->")
+        for k in range(2):
+            files.append((len(files), f"a/b{k}.{e}", f"x{k}\n{start} first {k}{end}\ny z\n\n{start} second {k}{end}\n" + "w" * 20 + "\n"))
+    spark.createDataFrame(files, "file_id bigint, path string, content string").write.parquet(f"{root}/source_files.parquet")
+    rows = [(f[0], f[1], "?", 1) for f in files[::2]]
+    spark.createDataFrame(rows, "file_id bigint, path string, text string, line int").write.parquet(f"{root}/comments.parquet")
+    return root, files
+
+
+@pytest.mark.parametrize("name", sorted(_EXTENSIONS))
+def test_queries_lex_files_without_a_record(spark, recorded, name):
+    root, files = recorded
+    expected = set()
+    for i, path, content in files:
+        e = path.rsplit(".")[-1]
+        if e in _EXTENSIONS[name] and (name not in ("line_comments", "block_comments") or (name == "line_comments") == (e in _MARKS)):
+            found = re.compile(re.escape(_MARKS[e]) + ".*" if e in _MARKS else r"\(\*.*?\*\)|<!--.*?-->")
+            expected |= {(i, m.group(), n) for n, line in enumerate(content.split("\n"), 1) for m in found.finditer(line)}
+    got = QUERIES[name](spark, root).collect()
+    if name == "comment_lines":
+        assert sorted((r.file_id, r.first_line, r.last_line, r.n) for r in got) == [(f[0], 2, 5, 2) for f in files]
+    else:
+        assert expected and sorted((r.file_id, r.text, r.line) for r in got) == sorted(expected)
