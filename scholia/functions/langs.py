@@ -282,14 +282,14 @@ _INTERPRETERS = {"sh", "bash", "zsh", "ksh", "dash", "python", "perl", "ruby", "
 def _by_content(extension: str, head: str) -> str | None:
     if extension == "ts" and re.match(r"\s*(<\?xml|<!DOCTYPE TS)", head):
         return "XML"
-    if extension == "m" and not re.search(r"@(interface|implementation|import|end\b)|#(import|include)", head) and re.search(r"(?m)^\s*(%|function\b)", head):
+    if extension == "m" and not re.search(r"@(interface|implementation|import|end\b)|#(import|include)", head) and re.search(r"(?m)^[^\S\n]*(%|function\b)", head):
         return "MATLAB"
     if extension == "h":
         if re.search(r"@interface|#import|@protocol", head):
             return "Objective-C"
         if re.search(r"\btemplate\s*<|\bnamespace\b|\bclass\s+\w+|std::", head):
             return "C++"
-    if extension == "pp" and re.search(r"(?mi)^\s*(unit|program|uses)\s+\w+", head):
+    if extension == "pp" and re.search(r"(?mi)^[^\S\n]*(unit|program|uses)\s+\w+", head):
         return "Pascal"
     if extension == "rs" and head.lstrip().startswith("<?xml"):
         return "XML"
@@ -314,7 +314,7 @@ def language_of(path: str | None, head: str | None = "", extra: dict[str, str] |
         name = _interpreter(head)
         if name in _INTERPRETERS:
             return ALIASES.get({"rscript": "r", "escript": "erlang", "dash": "sh", "ksh": "sh"}.get(name, name))
-    return _by_content(extension, head[:4000]) or EXTENSIONS.get(extension)
+    return _by_content(extension, head) or EXTENSIONS.get(extension)
 
 
 def _interpreter(head: str) -> str:

@@ -106,7 +106,7 @@ _CODES = {"go": "Go", "py": "Python", "js": "JavaScript", "java": "Java", "tsx":
 @_query("SELECT file_id, CASE regexp_extract(path, '[.]([a-z]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in _CODES.items()) + " END AS language FROM source_files")
 def lang_detect(spark: SparkSession, d: str) -> DataFrame:
     detect = F.udf(language_of, "string", useArrow=True)
-    return table(spark, d, "source_files").select("file_id", detect("path", F.substring("content", 1, 4000)).alias("language"))
+    return table(spark, d, "source_files").select("file_id", detect("path", "content").alias("language"))
 
 
 @_query(

@@ -85,6 +85,14 @@ def test_language_of():
     assert rules_of("Coq") == LANGUAGES["<generic>"] and rules_of("Text") is None and rules_of(None) is None
 
 
+def test_content_tests_read_the_whole_file(spark, tmp_path):
+    header = "// licence\n" * 1000
+    files = [("a.h", header + "class A {};\n", "C++"), ("b.h", header + "@interface B\n", "Objective-C"), ("c.h", header, "C"), ("d.m", "\n" * 9000 + "  % x\n", "MATLAB")]
+    assert [language_of(p, c) for p, c, _ in files] == [x for _, _, x in files]
+    spark.createDataFrame([(i, p, c) for i, (p, c, _) in enumerate(files)], "file_id bigint, path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    assert {r.file_id: r.language for r in QUERIES["lang_detect"](spark, str(tmp_path)).collect()} == {i: x for i, (_, _, x) in enumerate(files)}
+
+
 def test_comments_of_a_table(spark):
     rows = [(1, "a.c", "// x\n"), (2, "b.c", None), (3, None, "// x\n"), (4, "c.c", ""), (5, "d.txt", "// x"), (1, "a.c", "// x\n")]
     df = spark.createDataFrame(rows, "n int, p string, c string")
