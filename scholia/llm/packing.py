@@ -1,16 +1,16 @@
 """Items of varying size in containers of fixed capacity, by multiway differencing.
 
-Items are spread over blocks by a hash of their id, each block worth about ``WINDOWS`` containers. Inside
-a block the largest differencing method (Karmarkar and Karp, generalised to k sets) runs: every
+Items are dealt to blocks by a hash of their row, each block worth about ``WINDOWS`` containers.
+Inside a block the largest differencing method (Karmarkar and Karp, generalised to k sets) runs: every
 item starts as a partial partition of its own; the two partitions with the largest imbalance are
-merged with their sums in opposite order, until one is left. Sets above the capacity then give items
-to gaps that take them; where there is no such gap, the number of containers rises. At last the
-sets that are not nearly full are packed again by best fit, if that needs fewer of them.
+merged with their sums in opposite order, until one is left. It evens sums out but knows no
+capacity, so some sets are above it. Such a set is then differenced again together with one or two
+sets below it, whose imbalance is opposed to its own; where no such group fits, the number of
+containers rises. Every set comes out of differencing; no item is moved by itself.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 
 import numpy as np
@@ -22,22 +22,23 @@ from scholia.plans.tables import materialize
 
 #: Containers and rows a block is laid out for; both bound what one task holds.
 WINDOWS, ROWS = 128, 20_000
+#: Groups of three sets that are tried for one set above the capacity before the number of containers rises.
+TRIES = 50
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Containers needed at least: by volume, and by items of which no two fit together."""
-    best = -(-int(sizes.sum()) // capacity)
     ordered = np.sort(sizes)
     below = np.concatenate(([0], np.cumsum(ordered)))
-    for low in np.unique(ordered[ordered * 2 <= capacity])[:200].tolist() + [capacity // 2 + 1]:
-        large = int(np.searchsorted(ordered, capacity - low, side="right"))
-        half = int(np.searchsorted(ordered, capacity // 2, side="right"))
-        first = int(np.searchsorted(ordered, low, side="left"))
-        n_large, n_middle = len(ordered) - large, large - half
-        small, middle = below[half] - below[min(first, half)], below[large] - below[half]
-        rest = small - (n_middle * capacity - middle)
-        best = max(best, n_large + n_middle + max(0, -(-int(rest) // capacity)))
-    return max(best, 1)
+    lows = np.append(np.unique(ordered[ordered * 2 <= capacity]), capacity // 2 + 1)
+    # Beside an item above the capacity less ``low`` nothing of ``low`` or more fits.
+    large = np.searchsorted(ordered, capacity - lows, side="right")
+    half = int(np.searchsorted(ordered, capacity // 2, side="right"))
+    first = np.minimum(np.searchsorted(ordered, lows, side="left"), half)
+    n_middle = large - half
+    rest = below[half] - below[first] - (n_middle * capacity - (below[large] - below[half]))
+    most = int((len(ordered) - half + np.maximum(0, -(-rest // capacity))).max())
+    return max(most, -(-int(below[-1]) // capacity), 1)
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[int, np.ndarray]:
@@ -82,83 +83,89 @@ def difference(sizes: np.ndarray, k: int) -> tuple[int, np.ndarray]:
     return int(sums[0]), group
 
 
-def mend(sizes: np.ndarray, group: np.ndarray, k: int, capacity: int) -> int:
-    """Bring every set under the capacity; returns the number of sets needed.
+def difference_few(sizes: list[int], k: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(sum, items) of ``k`` sets, largest sum first: the same method for a handful of items."""
+    heap = [(-n, i, ((n, (i,)), *((0, ()),) * (k - 1))) for i, n in enumerate(sizes)]
+    heapq.heapify(heap)
+    turn = len(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both = sorted([(x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))], reverse=True)
+        heapq.heappush(heap, (both[-1][0] - both[0][0], turn, both))
+        turn += 1
+    return list(heap[0][2])
 
-    Of a set above the capacity the smallest sufficient items go, into the tightest gap that takes
-    them; where there is none, the number of sets rises. Changes ``group`` in place.
-    """
-    sums = np.bincount(group, weights=sizes, minlength=k).astype(np.int64)
-    loose: list[int] = []
-    for g in np.flatnonzero(sums > capacity).tolist():
-        own = np.flatnonzero(group == g)
-        own = own[np.argsort(sizes[own], kind="stable")]
-        while sums[g] > capacity:
-            at = min(int(np.searchsorted(sizes[own], sums[g] - capacity)), len(own) - 1)
-            loose.append(int(own[at]))
-            sums[g] -= sizes[own[at]]
-            own = np.delete(own, at)
-    gaps = sorted((int(capacity - x), g) for g, x in enumerate(sums.tolist()))
-    for i in sorted(loose, key=lambda i: -sizes[i]):
-        at = bisect.bisect_left(gaps, (int(sizes[i]), -1))
-        gap, g = gaps.pop(at) if at < len(gaps) else (capacity, k)
-        k += g == k
-        group[i] = g
-        bisect.insort(gaps, (gap - int(sizes[i]), g))
-    return k
-
-
-def refill(sizes: np.ndarray, group: np.ndarray, capacity: int, full: float = 0.99) -> np.ndarray:
-    """Pack the items of all sets that are not nearly full again, best fit first; the result if that saves sets.
-
-    Differencing evens sums out. With two or three items to a set, that leaves the same small gap
-    in most of them, which fitting can close.
+
+def fit(sizes: np.ndarray, group: np.ndarray, k: int, capacity: int, tries: int = TRIES) -> tuple[np.ndarray, int]:
+    """(set of each item, items differenced again): the sets of a partition brought under the capacity.
+
+    A set above the capacity is differenced again with one set below it, the fullest first, then
+    with two, until a group fits; a set for which no group does gets an empty one beside it. Two
+    sets suffice for that, as no item exceeds the capacity.
     """
-    sums = np.bincount(group, weights=sizes)
-    open_sets = np.flatnonzero((sums > 0) & (sums < full * capacity))
-    pool = np.flatnonzero(np.isin(group, open_sets))
-    fresh = np.zeros(len(sizes), dtype=np.int64)
-    gaps: list[tuple[int, int]] = []
-    n = 0
-    for i in pool[np.argsort(-sizes[pool], kind="stable")].tolist():
-        size = int(sizes[i])
-        at = bisect.bisect_left(gaps, (size, -1))
-        if at < len(gaps):
-            gap, g = gaps.pop(at)
-        else:
-            gap, g, n = capacity, n, n + 1
-        fresh[i] = g
-        bisect.insort(gaps, (gap - size, g))
-    if n >= len(open_sets):
-        return group
-    kept = np.setdiff1d(np.flatnonzero(sums > 0), open_sets)
-    out = np.searchsorted(kept, group)
-    out[pool] = len(kept) + fresh[pool]
-    return out
+    order = np.argsort(group, kind="stable")
+    sets = [s.tolist() for s in np.split(order, np.cumsum(np.bincount(group, minlength=k))[:-1])]
+    size = sizes.tolist()
+    sums = [sum(size[i] for i in s) for s in sets]
+    version = list(range(k))
+    turn, failed, again = k, set(), set()
+
+    def redo(which: tuple[int, ...]) -> bool:
+        nonlocal turn
+        key = tuple(version[g] for g in which)
+        if key in failed:
+            return False
+        items = [i for g in which for i in sets[g]]
+        found = difference_few([size[i] for i in items], len(which))
+        if found[0][0] > capacity:
+            failed.add(key)
+            return False
+        for g, (total, own) in zip(which, found):
+            sets[g], sums[g], version[g] = [items[i] for i in own], total, turn
+            turn += 1
+        again.update(items)
+        return True
+
+    def settle(g: int) -> bool:
+        below = sorted((h for h in range(len(sets)) if sums[h] <= capacity), key=lambda h: -sums[h])
+        if any(redo((g, h)) for h in below if sums[g] + sums[h] <= 2 * capacity):
+            return True
+        left = tries
+        below.reverse()
+        for at, h in enumerate(below):
+            for other in below[at + 1 :]:
+                if sums[g] + sums[h] + sums[other] > 3 * capacity:
+                    break
+                if not left:
+                    return False
+                left -= 1
+                if redo((g, h, other)):
+                    return True
+        return False
+
+    while over := sorted((g for g, n in enumerate(sums) if n > capacity), key=lambda g: -sums[g]):
+        if not sum([settle(g) for g in over]):
+            sets.append([])
+            sums.append(0)
+            version.append(turn)
+            turn += 1
+    out = np.empty(len(sizes), dtype=np.int64)
+    for g, own in enumerate(sets):
+        out[own] = g
+    return out, len(again)
 
 
 def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item; no item may exceed the capacity. Items of size zero go to container 0.
 
-    Partitions into the lower bound of containers and a little more, each mended; the best is kept.
+    Differencing begins with the lower bound of containers.
     """
     group = np.zeros(len(sizes), dtype=np.int64)
     real = np.flatnonzero(sizes > 0)
-    if not len(real):
-        return group
-    start = lower_bound(sizes[real], capacity)
-    best, step, k = None, max(1, start // 100), start
-    while best is None or k < best:
-        k = min(k, len(real))
+    if len(real):
+        k = min(lower_bound(sizes[real], capacity), len(real))
         most, found = difference(sizes[real], k)
-        used = k if most <= capacity else mend(sizes[real], found, k, capacity)
-        if best is None or used < best:
-            best, group[real] = used, found
-        if best == start:
-            break
-        k += step
-    if best > start:
-        group[real] = refill(sizes[real], group[real], capacity)
+        group[real] = found if most <= capacity else fit(sizes[real], found, k, capacity)[0]
     return group
 
 
@@ -168,28 +175,30 @@ def pack(sizes: DataFrame, capacities: dict[int, int], id_col: str, size_col: st
     An item above the capacity, and only such a one, is cut: into full pieces, each alone in its
     container, and a rest that is packed like any other item; ``start`` is the offset of a piece.
     Items of size zero, and of null size, take part with size zero, so that every row comes out.
-    Repeated rows are items of their own; an empty table gives an empty result. ``container`` is
-    unique within a limit.
+    Repeated rows, and rows whose id is null, are items of their own, spread over blocks like any
+    others; an empty table gives an empty result. ``container`` is unique within a limit.
     """
-    sizes = materialize(sizes.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("n")))
-    rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    each = sizes.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
+    # Written once, so that rows keep their numbers and sizes are not counted again.
+    each = materialize(each)
+    rows, total = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     limits = F.explode(
         F.array(*(F.struct(F.lit(i).alias("limit_id"), F.lit(c).cast("bigint").alias("cap"), F.lit(max(1, round(total / (c * WINDOWS)), rows // ROWS)).cast("bigint").alias("blocks")) for i, c in sorted(capacities.items())))
     )
-    each = sizes.withColumn("l", limits).select("id", "n", "l.limit_id", "l.cap", F.pmod(F.xxhash64("id", "l.limit_id"), F.col("l.blocks")).alias("block"))
+    each = each.withColumn("l", limits).select("row", "id", "n", "l.limit_id", "l.cap", F.pmod(F.xxhash64("row", "l.limit_id"), F.col("l.blocks")).alias("block"))
     n_full = F.when(F.col("n") > F.col("cap"), F.floor(F.col("n") / F.col("cap"))).otherwise(0)
     pieces = F.sequence(F.lit(0).cast("bigint"), n_full - F.when((n_full > 0) & (F.col("n") % F.col("cap") == 0), 1).otherwise(0))
     cut = each.withColumn("piece", F.explode(pieces)).withColumn("start", F.col("piece") * F.col("cap")).withColumn("size", F.least(F.col("n") - F.col("start"), F.col("cap")))
     full = (F.col("size") == F.col("cap")) & (F.col("n") > F.col("cap"))
-    id_type = sizes.schema["id"].dataType.simpleString()
+    id_type = each.schema["id"].dataType.simpleString()
 
     def lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "row", "piece"], ascending=[False, True, True], kind="stable")
         found = pack_block(pdf["size"].to_numpy(np.int64), int(pdf["cap"].iloc[0]))
-        container = pdf["block"].to_numpy(np.int64) * (1 << 24) + found
+        container = f"b{pdf['block'].iloc[0]}." + pd.Series(found, index=pdf.index).astype(str)
         return pd.DataFrame({"limit_id": pdf["limit_id"], "container": container, "id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "size": pdf["size"]})
 
-    # Full pieces fill a container each without looking at others; negative numbers keep them apart.
-    alone = cut.where(full).select("limit_id", (-F.abs(F.xxhash64("id", "piece")) - 1).alias("container"), "id", "piece", "start", "size")
-    together = cut.where(~full).groupBy("limit_id", "block").applyInPandas(lay_out, f"limit_id int, container bigint, id {id_type}, piece bigint, start bigint, size bigint")
+    # Full pieces fill a container each without looking at others.
+    alone = cut.where(full).select("limit_id", F.concat(F.lit("r"), F.col("row"), F.lit("."), F.col("piece")).alias("container"), "id", "piece", "start", "size")
+    together = cut.where(~full).groupBy("limit_id", "block").applyInPandas(lay_out, f"limit_id int, container string, id {id_type}, piece bigint, start bigint, size bigint")
     return together.unionByName(alone).withColumnRenamed("id", id_col)

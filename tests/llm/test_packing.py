@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scholia.llm.packing import difference, lower_bound, pack, pack_block
+from scholia.llm.packing import difference, difference_few, fit, lower_bound, pack, pack_block
 
 
 @settings(max_examples=60, deadline=None)
@@ -22,6 +22,35 @@ def test_little_space_is_left():
     assert used <= 1.02 * lower_bound(sizes, 100)
 
 
+def test_sets_come_out_of_differencing():
+    sizes = np.sort(np.random.RandomState(2).randint(1, 250, 400))[::-1].copy()
+    k = lower_bound(sizes, 300)
+    most, found = difference(sizes, k)
+    group, again = fit(sizes, found, k, 300)
+    # Sets that fit from the start, or were never asked to help, are as differencing left them.
+    same = {frozenset(np.flatnonzero(found == g)) for g in range(k)} & {frozenset(np.flatnonzero(group == g)) for g in range(group.max() + 1)}
+    assert most > 300 and again == len(sizes) - sum(map(len, same)) < len(sizes)
+    # One set above the capacity and one below become what differencing makes of their items.
+    group, again = fit(np.array([60, 50, 40, 30]), np.array([0, 0, 1, 1]), 2, 100)
+    assert again == 4 and sorted(np.bincount(group, weights=[60, 50, 40, 30])) == [90, 90]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=12), st.integers(2, 4))
+def test_few_items_as_many(sizes, k):
+    sums = [n for n, _ in difference_few(sizes, k)]
+    assert sums == sorted(sums, reverse=True) and sums[0] == difference(np.array(sizes), k)[0]
+    assert sorted(i for _, own in difference_few(sizes, k) for i in own) == list(range(len(sizes)))
+
+
+def test_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, 25), (1, 25), (None, 25), (None, 25), (None, None)], "doc_id bigint, n_tokens bigint")
+    fill = {}
+    for r in pack(df, {1: 10}, "doc_id").collect():
+        fill[r.container] = fill.get(r.container, 0) + r["size"]
+    assert max(fill.values()) == 10 and sum(fill.values()) == 100
+
+
 def test_differencing_balances():
     most, _ = difference(np.array([8, 7, 6, 5, 4]), 2)
     assert most == 16  # the classic example: differencing gives 16 against 14
