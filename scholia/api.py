@@ -85,8 +85,9 @@ def scan_tree(
 ) -> tuple[DataFrame, DataFrame]:
     """(tasks, errors) of a file tree.
 
-    ``errors`` has path and message: unreadable files, unsupported charsets, and, for files named
-    explicitly, binary and unsupported ones. ``blame`` (path, line, name, email) adds the author.
+    ``errors`` has path and message: missing paths, folders and files that cannot be read, loops of
+    links, unsupported charsets, for files named explicitly binary and unsupported ones, and tasks
+    on lines that a file's authors do not reach. ``blame`` (path, line, name, email) adds the author.
     """
     if charset != DETECT:
         resolve(charset)
@@ -119,4 +120,7 @@ def scan_files(files: DataFrame, types=DEFAULT_TYPES, labels=(), charset=DEFAULT
     if not include_generated:
         readable = readable.where(F.col("explicit") | ~path_rules.generated(F.col("path"), F.col("text")))
     tasks = markers_of(comments_of(readable, "path", "text", (), lang, "lang"), types, labels).select(*OUTPUT)
-    return (authors.with_authors(tasks, blame) if blame is not None else tasks), errors
+    if blame is not None:
+        errors = errors.unionByName(authors.beyond_authors(tasks, blame))
+        tasks = authors.with_authors(tasks, blame)
+    return tasks, errors

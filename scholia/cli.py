@@ -5,8 +5,9 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia import __version__
@@ -14,12 +15,13 @@ from scholia.api import scan_files, scan_tree
 from scholia.functions.charsets import DEFAULT_CHARSET, CharsetError
 from scholia.functions.globs import glob_to_regex
 from scholia.functions.reports import REPORTS
+from scholia.operators.blame import beyond_authors, with_authors
 from scholia.operators.markers import DEFAULT_TYPES
 from scholia.sources.gitblame import blame_of
 from scholia.sources.walk import IGNORE_FILES, WalkOptions
 
-#: Exit codes: nothing found, found, wrong flags, error while reading.
-NONE_FOUND, FOUND, FLAG_ERROR, WALK_ERROR = 0, 1, 2, 3
+#: Exit codes: nothing found, found, wrong flags, error while listing or reading, anything else.
+NONE_FOUND, FOUND, FLAG_ERROR, WALK_ERROR, UNKNOWN_ERROR = 0, 1, 2, 3, 4
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,34 +57,47 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     except ValueError as e:
         print(f"scholia: {e}", file=err)
         return FLAG_ERROR
-    spark = spark or SparkSession.builder.appName("scholia").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    try:
+        spark = spark or SparkSession.builder.appName("scholia").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        return _scan(a, spark, out, err)
+    except Exception as e:
+        print(f"scholia: unexpected error: {e}", file=err)
+        return UNKNOWN_ERROR
+
+
+def _stdin(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("stdin", True, bytearray(sys.stdin.buffer.read()), None)], "path string, explicit boolean, content binary, error string")
+
+
+def _scan(a: argparse.Namespace, spark: SparkSession, out, err) -> int:
     types = DEFAULT_TYPES if a.todo_types is None else [t.strip() for t in a.todo_types.split(",")]
     walk = WalkOptions(a.exclude, a.exclude_dir, a.exclude_hidden, a.include_vcs, a.include_vendored, a.follow, a.ignore_file_name or IGNORE_FILES)
     try:
-        if a.paths == ["-"]:
-            files = spark.createDataFrame([("stdin", True, bytearray(sys.stdin.buffer.read()), None)], "path string, explicit boolean, content binary, error string")
-            tasks, errors = scan_files(files, types, a.label, a.charset, a.language, True, not a.no_error_on_unsupported)
-        else:
-            tasks, errors = scan_tree(spark, a.paths, walk, types, a.label, a.charset, a.language, a.include_generated, not a.no_error_on_unsupported)
+        scans = []
+        if "-" in a.paths:
+            scans.append(scan_files(_stdin(spark), types, a.label, a.charset, a.language, True, not a.no_error_on_unsupported))
+        if named := [p for p in a.paths if p != "-"]:
+            scans.append(scan_tree(spark, named, walk, types, a.label, a.charset, a.language, a.include_generated, not a.no_error_on_unsupported))
     except (CharsetError, ValueError) as e:
         print(f"scholia: {e}", file=err)
         return FLAG_ERROR
+    tasks, errors = (reduce(DataFrame.unionByName, side) for side in zip(*scans))
     user = None
     if a.blame:
-        from scholia.operators.blame import with_authors
-
-        tasks, user = with_authors(tasks, blame_of(tasks)), F.col("git_user")
+        # Asked for three times: for its paths, its lines and its errors.
+        tasks = tasks.persist()
+        lines = blame_of(tasks).persist()
+        errors = errors.unionByName(beyond_authors(tasks, lines))
+        tasks, user = with_authors(tasks, lines), F.col("git_user")
     report = a.output or ("github" if os.environ.get("GITHUB_ACTIONS") == "true" else "default")
-    found = False
+    coloured = out.isatty() and not os.environ.get("NO_COLOR")
+    found = failed = False
     # Rows come partition by partition, so the driver holds one partition at a time.
-    for row in tasks.orderBy("path", "line").select(REPORTS[report](user).alias("v")).toLocalIterator():
+    for row in tasks.orderBy("path", "line").select(REPORTS[report](user, coloured).alias("v")).toLocalIterator():
         found = True
         print(row.v, file=out)
-    failed = [p for p in a.paths if p != "-" and not os.path.exists(p)]
-    for path in failed:
-        print(f"scholia: {path}: no such file or directory", file=err)
-    for row in errors.orderBy("path").toLocalIterator():
-        failed.append(row.path)
+    for row in errors.orderBy("path", "message").toLocalIterator():
+        failed = True
         print(f"scholia: {row.path}: {row.message}", file=err)
     return WALK_ERROR if failed else FOUND if found else NONE_FOUND
 

@@ -14,10 +14,18 @@ def severity(kind: Column) -> Column:
     return F.when(kind.isin(*WARNINGS), "warning").when(kind.isin(*ERRORS), "error").otherwise("notice")
 
 
-def plain_line(user: Column | None = None) -> Column:
-    """``path:line:[name <email>:]text``"""
-    who = F.lit(None).cast("string") if user is None else F.when(user.isNotNull(), F.concat(F.coalesce(user["name"], F.lit("")), F.lit(" <"), F.coalesce(user["email"], F.lit("")), F.lit(">")))
-    return F.concat_ws(":", "path", F.col("line").cast("string"), who, "text")
+#: Escape sequences of a terminal: path, line number and author, separators, back to plain.
+_PATH, _LINE, _MARK, _PLAIN = "\x1b[35m", "\x1b[32m", "\x1b[36m", "\x1b[0m"
+
+
+def plain_line(user: Column | None = None, coloured: bool = False) -> Column:
+    """``path:line:[name[ <email>]:]text``; the address is left out where there is none."""
+    address = F.when(F.coalesce(user["email"], F.lit("")) != "", F.concat(F.lit(" <"), user["email"], F.lit(">"))) if user is not None else None
+    who = F.lit(None).cast("string") if user is None else F.when(user.isNotNull(), F.concat(F.coalesce(user["name"], F.lit("")), F.coalesce(address, F.lit(""))))
+    if not coloured:
+        return F.concat_ws(":", "path", F.col("line").cast("string"), who, "text")
+    paint = lambda c, tone: F.concat(F.lit(tone), c, F.lit(_PLAIN))
+    return F.concat_ws(f"{_MARK}:{_PLAIN}", paint(F.col("path"), _PATH), paint(F.col("line").cast("string"), _LINE), paint(who, _LINE), "text")
 
 
 def github_line() -> Column:
@@ -36,4 +44,4 @@ def json_line(user: Column | None = None) -> Column:
     return out
 
 
-REPORTS = {"default": plain_line, "github": lambda user=None: github_line(), "json": json_line}
+REPORTS = {"default": plain_line, "github": lambda user=None, coloured=False: github_line(), "json": lambda user=None, coloured=False: json_line(user)}

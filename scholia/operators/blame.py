@@ -28,3 +28,10 @@ def with_authors(tasks: DataFrame, blame: DataFrame, on: Sequence[str] = ("path"
 def without_authors(tasks: DataFrame, blame: DataFrame, on: Sequence[str] = ("path", "line")) -> DataFrame:
     """The tasks whose line has no author."""
     return tasks.join(blame.select(*on).distinct(), list(on), "left_anti")
+
+
+def beyond_authors(tasks: DataFrame, blame: DataFrame, on: Sequence[str] = ("path",)) -> DataFrame:
+    """(path, message) of the tasks in files with line authors whose line lies behind the last of them."""
+    last = blame.groupBy(*on).agg(F.max("line").alias("__last"))
+    message = F.concat(F.lit("no author of line "), F.col("line").cast("string"))
+    return tasks.join(last, list(on)).where(F.col("line") > F.col("__last")).select("path", message.alias("message"))

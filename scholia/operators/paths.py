@@ -74,11 +74,6 @@ def generated(path: Column, content: Column) -> Column:
     return F.coalesce(path.rlike(GENERATED_NAME), F.lit(False)) | F.coalesce(F.substring(content, 1, 2000).rlike(GENERATED_HEAD), F.lit(False))
 
 
-def binary(content: Column) -> Column:
-    """A zero byte among the first 8,000 bytes of a binary column."""
-    return F.coalesce(F.locate("\0", F.decode(F.substring(content, 1, 8000), "ISO-8859-1")) > 0, F.lit(False))
-
-
 def keep(
     path: Column,
     exclude: Sequence[str] = (),

@@ -164,13 +164,13 @@ SELECT comment_id, file_id, p.type AS type, {_trim("own")} AS text, p.label AS l
 """
 
 
-def _todos(spark: SparkSession, d: str, types=DEFAULT_TYPES, labels=()) -> DataFrame:
+def _marked(spark: SparkSession, d: str, types=DEFAULT_TYPES, labels=()) -> DataFrame:
     return markers_of(table(spark, d, "comments"), types, labels).select("comment_id", "file_id", "type", "text", "label", "message", "line", "comment_line")
 
 
 @_query(_markers_sql())
 def todo_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _todos(spark, d)
+    return _marked(spark, d)
 
 
 @_query(f"SELECT t.* FROM ({_markers_sql()}) t JOIN comments USING (comment_id) WHERE NOT multiline".replace("t.*", "comment_id, t.type, t.label, t.message, t.line"))
@@ -185,27 +185,27 @@ def todo_block(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_markers_sql(("FIXME", "HACK")))
 def custom_types(spark: SparkSession, d: str) -> DataFrame:
-    return _todos(spark, d, ("FIXME", "HACK"))
+    return _marked(spark, d, ("FIXME", "HACK"))
 
 
 @_query(f"SELECT * FROM ({_markers_sql()}) WHERE regexp_matches(label, '^(?:core-.*|#[0-9].*)$')")
 def label_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _todos(spark, d, labels=("core-*", "#[0-9]*"))
+    return _marked(spark, d, labels=("core-*", "#[0-9]*"))
 
 
 @_query(f"SELECT type, count(*) AS n FROM ({_markers_sql()}) GROUP BY type")
 def todo_types(spark: SparkSession, d: str) -> DataFrame:
-    return _todos(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return _marked(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"SELECT label, count(*) AS n FROM ({_markers_sql()}) WHERE label <> '' GROUP BY label")
 def todo_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _todos(spark, d).where("label <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _marked(spark, d).where("label <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(f"SELECT message, count(*) AS n, count(DISTINCT file_id) AS files FROM ({_markers_sql()}) WHERE message <> '' GROUP BY message")
 def todo_messages(spark: SparkSession, d: str) -> DataFrame:
-    return _todos(spark, d).where("message <> ''").groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
+    return _marked(spark, d).where("message <> ''").groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
 
 
 @_query()
@@ -263,7 +263,7 @@ def blame_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    "SELECT task_id, concat_ws(':', path, CAST(line AS VARCHAR), CASE WHEN git_user IS NOT NULL THEN coalesce(git_user.name, '') || ' <' || coalesce(git_user.email, '') || '>' END, text) AS report FROM tasks"
+    "SELECT task_id, concat_ws(':', path, CAST(line AS VARCHAR), CASE WHEN git_user IS NOT NULL THEN coalesce(git_user.name, '') || CASE WHEN git_user.email <> '' THEN ' <' || git_user.email || '>' ELSE '' END END, text) AS report FROM tasks"
 )
 def fmt_default(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tasks").select("task_id", plain_line(F.col("git_user")).alias("report"))

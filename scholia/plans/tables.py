@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -17,14 +18,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session that names
-    none, as in tests on one machine, gets a folder of its own. The written copy survives the loss
-    of any executor.
+    The folder is the one that ``spark.checkpoint.dir`` names. Where it is unset, a session whose
+    driver is its only process gets a folder of its own; on a cluster this raises ValueError, as
+    a folder of one machine cannot be read by the others. The copy survives the loss of executors.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholia-checkpoint-"))
+        if not named and not re.fullmatch(r"local(?:\[[^\]]*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = named or tempfile.mkdtemp(prefix="scholia-")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

@@ -32,6 +32,24 @@ class Listing:
     errors: list[tuple[str, str]] = field(default_factory=list)
 
 
+@dataclass(frozen=True)
+class Folder:
+    """A folder that is still to be listed: its path as shown, where it really is, and the ignore rules above it."""
+
+    shown: str
+    real: str
+    rules: tuple[IgnoreRule, ...] = ()
+
+
+@dataclass
+class Opened:
+    """What stands directly in a folder."""
+
+    files: list[str] = field(default_factory=list)
+    folders: list[Folder] = field(default_factory=list)
+    errors: list[tuple[str, str]] = field(default_factory=list)
+
+
 @dataclass(frozen=True)
 class IgnoreRule:
     folder: str
@@ -84,41 +102,45 @@ def _loops(link: str) -> bool:
     return os.path.relpath(os.path.realpath(link), parent).split(os.sep)[0] in ("..", ".")
 
 
-def list_files(paths: Sequence[str], options: WalkOptions | None = None) -> Listing:
-    """Files under ``paths`` in order; a path that is a file itself is taken whatever the options say."""
-    options = options or WalkOptions()
-    out = Listing()
-    any_of = lambda globs: re.compile("|".join(f"(?:{glob_to_regex(g)})" for g in globs) + r"\Z") if globs else None
-    files_rx, dirs_rx = any_of(list(options.exclude)), any_of([g.rstrip("/") for g in options.exclude_dirs])
+def roots(paths: Sequence[str]) -> tuple[list[Folder], Listing]:
+    """The folders among ``paths``, and the rest: a path that is a file itself is taken whatever the options say."""
+    folders, out = [], Listing()
     for path in paths or ["."]:
         if os.path.isdir(path):
-            out_walk = _walk(path, path, [], options, files_rx, dirs_rx, out, root=True)
-            out.files.extend((f, False) for f in out_walk)
+            folders.append(Folder(path, path))
         elif os.path.exists(path):
             out.files.append((path, True))
         else:
             out.errors.append((path, "no such file or directory"))
-    return out
+    return folders, out
 
 
-def _walk(shown: str, real: str, rules: list[IgnoreRule], o: WalkOptions, files_rx, dirs_rx, out: Listing, root: bool = False) -> Iterator[str]:
+def open_folder(folder: Folder, o: WalkOptions) -> Opened:
+    """One folder's files and folders in order, pruned by the options."""
+    out = Opened()
+    any_of = lambda globs: re.compile("|".join(f"(?:{glob_to_regex(g)})" for g in globs) + r"\Z") if globs else None
+    files_rx, dirs_rx = any_of(list(o.exclude)), any_of([g.rstrip("/") for g in o.exclude_dirs])
     try:
-        names = sorted(os.listdir(real))
+        names = sorted(os.listdir(folder.real))
     except OSError as e:
-        out.errors.append((shown, e.strerror or str(e)))
-        return
-    rules = rules + _rules(real, o.ignore_files)
+        out.errors.append((folder.shown, e.strerror or str(e)))
+        return out
+    rules = (*folder.rules, *_rules(folder.real, o.ignore_files))
     for name in names:
-        path, at = os.path.join(shown, name), os.path.join(real, name)
+        path, at = os.path.join(folder.shown, name), os.path.join(folder.real, name)
         if os.path.islink(at):
+            if not os.path.exists(at):
+                out.errors.append((path, "no such file or directory"))
+                continue
             if not o.follow:
                 continue
-            if _loops(at):
+            if os.path.isdir(at) and _loops(at):
                 out.errors.append((path, "symbolic link loop"))
                 continue
             at = os.path.realpath(at)
         is_dir = os.path.isdir(at)
-        if (dirs_rx if is_dir else files_rx) is not None and (dirs_rx if is_dir else files_rx).match(name):
+        rx = dirs_rx if is_dir else files_rx
+        if rx is not None and rx.match(name):
             continue
         if o.exclude_hidden and name.startswith("."):
             continue
@@ -127,6 +149,29 @@ def _walk(shown: str, real: str, rules: list[IgnoreRule], o: WalkOptions, files_
         if ignored(at, is_dir, rules):
             continue
         if is_dir:
-            yield from _walk(path, at, rules, o, files_rx, dirs_rx, out)
+            out.folders.append(Folder(path, at, rules))
         elif os.path.isfile(at):
-            yield path
+            out.files.append(path)
+    return out
+
+
+def walk(folder: Folder, options: WalkOptions) -> Iterator[tuple[str, str | None]]:
+    """(path, error) of every file in and below a folder; only paths on the way are held in memory."""
+    waiting = [folder]
+    while waiting:
+        found = open_folder(waiting.pop(), options)
+        yield from found.errors
+        yield from ((path, None) for path in found.files)
+        waiting.extend(reversed(found.folders))
+
+
+def list_files(paths: Sequence[str], options: WalkOptions | None = None) -> Listing:
+    """Files under ``paths`` and what could not be listed."""
+    folders, out = roots(paths)
+    for folder in folders:
+        for path, error in walk(folder, options or WalkOptions()):
+            if error is None:
+                out.files.append((path, False))
+            else:
+                out.errors.append((path, error))
+    return out

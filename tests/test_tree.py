@@ -3,11 +3,15 @@ import os
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from scholia import cli
 from scholia.api import scan_tree
 from scholia.functions.charsets import CharsetError, decode, resolve
 from scholia.functions.globs import glob_to_regex
+from scholia.functions.reports import plain_line
+from scholia.operators.blame import beyond_authors
+from scholia.sources import codefiles
 from scholia.sources.gitblame import parse_porcelain
 from scholia.sources.walk import WalkOptions, list_files
 
@@ -50,6 +54,35 @@ def test_links(tree):
     assert not any("alias" in p for p, _ in list_files([str(tree)]).files)
     followed = list_files([str(tree)], WalkOptions(follow=True))
     assert any("alias" in p for p, _ in followed.files) and [e for e in followed.errors if "loop" in e[1]]
+    os.symlink(tree / "gone", tree / "broken.go")
+    assert [(os.path.basename(p), m) for p, m in list_files([str(tree)]).errors] == [("broken.go", "no such file or directory")]
+
+
+def test_folders_that_cannot_be_read(tree, monkeypatch):
+    listdir = os.listdir
+
+    def refuse(path):
+        if str(path).endswith("sub"):
+            raise PermissionError(13, "Permission denied")
+        return listdir(path)
+
+    monkeypatch.setattr(os, "listdir", refuse)
+    found = list_files([str(tree)])
+    assert found.errors == [(str(tree / "sub"), "Permission denied")] and "a.go" in names(found, tree)
+
+
+def test_listing_is_shared_out(tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"d{i}" / "in").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "in" / "a.go").write_text("")
+        (tmp_path / f"d{i}" / "b.go").write_text("")
+    os.symlink(tmp_path, tmp_path / "d3" / "in" / "up")
+    monkeypatch.setattr(codefiles, "FOLDERS", 8)
+    reader = codefiles.CodeFilesReader({"path": str(tmp_path), "follow": "true"})
+    parts = reader.partitions()
+    assert len(parts) > 8 and sum(len(p.files) for p in parts) < 60
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sorted(r[0] for r in rows if r[3] is None) == sorted(p for p, _ in list_files([str(tmp_path)]).files) and len([r for r in rows if r[3]]) == 1
 
 
 def test_ignore_rules_have_no_order(tmp_path):
@@ -70,7 +103,7 @@ def test_scan_tree(spark, tree):
     assert sorted((r.message, r.git_user and tuple(r.git_user)) for r in tasks.collect()) == [("one", ("A", "a@x")), ("three", None)]
 
 
-def test_command_line(spark, tree):
+def test_command_line(spark, tree, monkeypatch):
     def run(*args):
         out, err = io.StringIO(), io.StringIO()
         return cli.main(list(args), spark, out, err), out.getvalue(), err.getvalue()
@@ -81,7 +114,51 @@ def test_command_line(spark, tree):
     assert run("-o", "json", a)[1] == f'{{"path":"{a}","type":"TODO","text":"// TODO(x): one","label":"x","message":"one","line":1,"comment_line":1}}\n'
     assert run("--todo-types", "HACK", a) == (0, "", "")
     assert run("--label", "[", a)[0] == 2 and run("-c", "no-such", a)[0] == 2 and run("-o", "xml", a)[0] == 2
-    assert run(str(tree / "none"))[0] == 3
+    code, _, err = run(str(tree / "none"), a)
+    assert code == 3 and "none: no such file or directory" in err
+    os.symlink(tree, tree / "sub" / "up")
+    code, _, err = run("--follow", str(tree))
+    assert code == 3 and err.count("\n") == 1 and "symbolic link loop" in err
+    monkeypatch.setattr(cli, "scan_tree", lambda *a, **k: 1 / 0)
+    code, _, err = run(a)
+    assert code == 4 and "division by zero" in err
+
+
+def test_standard_input(spark, tree, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"# TODO: from a pipe\n")))
+    out = io.StringIO()
+    assert cli.main(["-o", "default", "-g", "python", "-", str(tree / "a.go")], spark, out, io.StringIO()) == 1
+    assert out.getvalue() == "stdin:1:# TODO: from a pipe\n"
+
+
+def test_lines_without_author(spark):
+    tasks = spark.createDataFrame([("a.py", 3), ("a.py", 9), ("b.py", 1)], "path string, line int")
+    lines = spark.createDataFrame([("a.py", 1, "A", None), ("a.py", 8, "A", None)], "path string, line int, name string, email string")
+    assert [tuple(r) for r in beyond_authors(tasks, lines).collect()] == [("a.py", "no author of line 9")]
+
+
+def test_plain_report(spark):
+    df = spark.createDataFrame([("a", 1, "t", ("N", "e@x")), ("a", 1, "t", ("N", "")), ("a", 1, "t", (None, None)), ("a", 1, "t", None)], "path string, line int, text string, u struct<name:string,email:string>")
+    assert [r.v for r in df.select(plain_line(F.col("u")).alias("v")).collect()] == ["a:1:N <e@x>:t", "a:1:N:t", "a:1::t", "a:1:t"]
+    assert df.select(plain_line(F.col("u"), True).alias("v")).first().v == "\x1b[35ma\x1b[0m\x1b[36m:\x1b[0m\x1b[32m1\x1b[0m\x1b[36m:\x1b[0m\x1b[32mN <e@x>\x1b[0m\x1b[36m:\x1b[0mt"
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from scholia.plans import tables
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    class Frame:
+        sparkSession = Session
+
+    with pytest.raises(ValueError):
+        tables.materialize(Frame)
 
 
 def test_charsets():
