@@ -2,18 +2,21 @@
 
 Tokens of a text form a chain; tokens far apart that are equal, or a word and an address that holds
 it, are tied by skip edges, so that what is plain in one place is found in the other too. Emission,
-transition and skip potentials are trained piecewise on a sample that patterns and known first
-names label; inference is loopy message passing: the chain is summed out exactly, then messages
-travel over the skip edges, a few times in turn. Texts are worked on in batches of arrays, not one
-by one.
-
-A text in which no token may begin a private detail (no digit, no address, no two capitalised
-words) has only one labelling and is not looked at. Found spans are checked at last: a name needs a
+transition and skip potentials are trained together: the gradient is what the labels say less what
+loopy message passing expects (the chain is summed out exactly, then messages travel over the skip
+edges, a few times in turn). Labels come from patterns and known names on a sample of the
+collection, in which most details are then replaced by invented ones (see ``details``); no pattern
+decides anything when the model is applied. Texts are worked on in batches of arrays.
+
+A detail must have an anchor, or its text is not looked at: an address sign or its disguise, a run
+of four digits, a number beside a capitalised word, two capitalised words in a row, or a first
+name of the training names in whatever case. Found spans are checked at last: a name needs a
 surname, a phone number seven digits.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -22,25 +25,31 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm import details
 from scholia.plans.tables import bounded_sample
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 O, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
-#: Bounds of the training sample, in rows, and rounds of training and of message passing.
-SAMPLE_ROWS, EPOCHS, ROUNDS = 24_000, 4, 3
-_HASHED = 1 << 15
-
-#: Necessary for any detail: an address sign or its disguise, four digits, or two capitalised words or an initial and one.
-SCREEN = r"@|\[at\]|\(at\)|\bAT\b|\d(?:[^\n]{0,3}\d){3}|\p{Lu}[\p{L}'’.-]*,? (?:\p{Lu}\. )?(?:v[ao]n |de )?\p{Lu}[\p{L}'’-]"
+#: Bounds of the training sample: values of the collection, characters of each, invented sentences.
+SAMPLE_ROWS, SAMPLE_CHARS, INVENTED = 16_000, 2_000, 6_000
+#: Rounds of training and of message passing, and texts in a step of training.
+EPOCHS, ROUNDS, STEP = 3, 3, 400
+_HASHED = 1 << 16
+
+#: An address sign or its disguise, four digits, a number beside a capitalised word, two capitalised words or initials.
+_PARTICLE = r"(?:v[ao]n|de[nrl]?|d[aiou]|del|dos|al?|l[ae]|ter|ten)"
+SCREEN = (
+    r"@|\[at\]|\(at\)|\bAT\b|\d(?:[^\n]{0,3}\d){3}|\p{Lu}[\p{L}'’.-]*,?\s+(?:%s\s+){0,3}\p{Lu}|\p{Lu}\p{L}{2,}\s+\d+\s?\p{L}?,\s|(?<![\p{L}\d#])\d+\p{L}?,?\s+\p{Lu}\p{L}" % _PARTICLE
+)
 
 _L = r"[^\W\d_]"
 _TOKEN = re.compile(
     r"(?P<mail>[\w.+'%-]*\w(?:@|\[at\]|\(at\)| \(at\) )[\w-]+(?:(?:\.|\[dot\]|\(dot\)| \(dot\) )[\w-]+)*|[\w.+-]*\w AT [\w-]+(?: DOT [\w-]+)+)"
     r"|(?P<ident>\w+(?:::\w+)+(?:\(\))?|\w*[A-Za-z]\w*_\w+(?:\(\))?|\w+\(\)|\w+\.(?:go|py|rs|ts|js|sql|yml|yaml|java|c|rb)\b|https?://\S+|[a-z]+[A-Z]\w*)"
-    r"|(?P<number>(?:tel:)?\+?(?:\(\d{1,5}\)[ -]?)?\d[\d()./:\- ]*\d(?: x\d+)?|\d)"
+    r"|(?P<number>(?:tel:)?\+?(?:\(\d{1,5}\)[ -]?)?\d(?:(?:[-./:]| ?[()] ?| {1,2})?\d)*(?: x\d+)?)"
     rf"|(?P<word>{_L}+(?:['’-]{_L}+)*)(?![\w])"
     r"|(?P<mixed>\w+)|(?P<mark>[^\w\s])"
 )
@@ -62,7 +71,9 @@ _ADDRESS = re.compile(
     rf"|\d+ {_W}(?: {_W})? (?:St|Ave|Blvd|Rd|Street|Avenue|Road|Lane|Ln|Drive|Dr|Way|Court)\b\.?(?:, (?:Apt|Suite|Unit|Flat)\.? \w+)?, {_W}(?: {_W})?(?:,? [A-Z]{{2}})?(?: \d{{5}})?)"
 )
 _NAME = re.compile(rf"(?:Dr\. )?((?:[A-Z]\. )?{_W}|[A-ZÀ-Þ]\.)(?:,)? (?:[A-ZÀ-Þ]\. )?(?:(?:van|von|de|der|del|di|da) )?({_W})")
-_VERSION = re.compile(r"\d+(?:\.\d+)+$")
+_WORDS = re.compile(rf"{_L}+").findall
+#: Texts times tokens that message passing holds at once, unless one text alone has more.
+_CELLS = 1 << 15
 
 
 def _shape(kind: str, token: str) -> str:
@@ -80,6 +91,17 @@ def _shape(kind: str, token: str) -> str:
     return kind if kind == "ident" else token
 
 
+def _coarse(kind: str, token: str) -> int:
+    """A number for what kind of token this is, the same for numbers of like make-up: digits in all, groups, separators, sign."""
+    if kind in ("number", "mixed"):
+        n = sum(c.isdigit() for c in token)
+        groups = min(5, len(re.findall(r"\d+", token)))
+        marks = sum(1 << i for i, c in enumerate("-. /(:+") if c in token)
+        letters = 0 if kind == "number" else 1 + token[0].isalpha() + 2 * token[-1].isalpha()
+        return 10 + ((min(n, 15) * 6 + groups) * 128 + marks) * 5 + letters
+    return {"X": 1, "x": 2, "XX": 3, "Xx": 4, "Xy": 5, "xx": 6, "ident": 7}.get(_shape(kind, token), 8 if kind == "mail" else 9)
+
+
 @dataclass
 class Tokens:
     """Tokens of many texts in one row of arrays; ``starts`` has the first token of each text."""
@@ -88,13 +110,14 @@ class Tokens:
     words: np.ndarray
     shapes: np.ndarray
     tails: np.ndarray
+    coarse: np.ndarray
     keys: list[list[str]]
     starts: np.ndarray
 
 
 @dataclass
 class Model:
-    """Vocabularies and potentials. Index 0 of each vocabulary stands for unknown, 1 for outside the text."""
+    """Vocabularies and potentials. Index 0 of each vocabulary stands for unknown, the last for outside the text."""
 
     words: dict[str, int]
     shapes: dict[str, int]
@@ -102,26 +125,33 @@ class Model:
     weights: np.ndarray = field(default=None)
     move: np.ndarray = field(default=None)
     skip: np.ndarray = field(default=None)
+    first_names: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        self._known: dict[tuple[str, str], tuple[int, int, int, str]] = {}
+        self._known: dict[tuple[str, str], tuple[int, int, int, int, str]] = {}
         w, s, t = len(self.words) + 2, len(self.shapes) + 2, len(self.tails) + 2
         sizes = [w] * 5 + [s] * 5 + [t] * 3 + [_HASHED]
         self._at = np.concatenate(([0], np.cumsum(sizes)))
+        self._screen = regex.compile(SCREEN)
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("words", "shapes", "tails", "weights", "move", "skip")}
+        return {k: self.__dict__[k] for k in ("words", "shapes", "tails", "weights", "move", "skip", "first_names")}
 
     def __setstate__(self, state) -> None:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _look_up(self, kind: str, token: str) -> tuple[int, int, int, str]:
+    def anchored(self, text: str) -> bool:
+        """Whether a text has what a detail must have."""
+        return self._screen.search(text) is not None or not self.first_names.isdisjoint(_WORDS(text.lower()))
+
+    def _look_up(self, kind: str, token: str) -> tuple[int, int, int, int, str]:
         found = self._known.get((kind, token))
         if found is None:
             lower = token.lower()
             shape = _shape(kind, token)
-            found = self.words.get(lower, 0), self.shapes.get(shape, 0), self.tails.get(lower[-4:], 0), lower if shape in ("Xx", "XX", "Xy") or kind in ("mail", "number") else ""
+            key = lower if shape in ("Xx", "XX", "Xy") or kind in ("mail", "number") and len(token) > 4 else ""
+            found = self.words.get(lower, 0), self.shapes.get(shape, 0), self.tails.get(lower[-4:], 0), _coarse(kind, token), key
             if len(self._known) > 200_000:
                 self._known.clear()
             self._known[kind, token] = found
@@ -129,53 +159,53 @@ class Model:
 
     def tokens(self, texts: Sequence[str]) -> Tokens:
         spans, keys, ids, starts = [], [], [], [0]
+        look_up = self._look_up
         for text in texts:
             own, key = [], []
             for m in _TOKEN.finditer(text):
-                *numbers, k = self._look_up(m.lastgroup, m.group())
+                *numbers, k = look_up(m.lastgroup, m.group())
                 ids.append(numbers)
                 own.append(m.span())
                 key.append(k)
             spans.append(own)
             keys.append(key)
             starts.append(len(ids))
-        w, s, t = np.array(ids, dtype=np.int64).reshape(-1, 3).T
-        return Tokens(spans, w, s, t, keys, np.array(starts))
+        w, s, t, c = np.array(ids, dtype=np.int64).reshape(-1, 4).T
+        return Tokens(spans, w, s, t, c, keys, np.array(starts))
 
     def features(self, t: Tokens) -> np.ndarray:
         """Weight rows of each token: words and shapes around it, word ends, and hashed combinations."""
         n = len(t.words)
         text_of = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
 
-        def near(values: np.ndarray, offset: int) -> np.ndarray:
-            out = np.full(n, len(self.words) + len(self.shapes) + len(self.tails) + 9, dtype=np.int64)
+        def near(values: np.ndarray, offset: int, outside: int) -> np.ndarray:
             if offset == 0:
                 return values
-            at = np.arange(n) + offset
-            ok = (at >= 0) & (at < n)
-            ok[ok] = text_of[at[ok]] == text_of[np.arange(n)[ok]]
-            out[ok] = values[at[ok]]
+            out = np.full(n, outside, dtype=np.int64)
+            to, of = (slice(0, max(0, n - offset)), slice(offset, n)) if offset > 0 else (slice(-offset, n), slice(0, max(0, n + offset)))
+            same = text_of[to] == text_of[of]
+            out[to] = np.where(same, values[of], outside)
             return out
 
-        w = {o: near(t.words, o) for o in range(-2, 3)}
-        s = {o: near(t.shapes, o) for o in range(-2, 3)}
-        e = {o: near(t.tails, o) for o in range(-1, 2)}
-        limit = lambda v, size: np.where(v >= size, size - 1, v)
-        plain = [self._at[i] + limit(w[o], len(self.words) + 2) for i, o in enumerate(range(-2, 3))]
-        plain += [self._at[5 + i] + limit(s[o], len(self.shapes) + 2) for i, o in enumerate(range(-2, 3))]
-        plain += [self._at[10 + i] + limit(e[o], len(self.tails) + 2) for i, o in enumerate(range(-1, 2))]
+        w = {o: near(t.words, o, len(self.words) + 1) for o in range(-3, 3)}
+        s = {o: near(t.shapes, o, len(self.shapes) + 1) for o in range(-2, 3)}
+        e = {o: near(t.tails, o, len(self.tails) + 1) for o in range(-1, 2)}
+        c = {o: near(t.coarse, o, 0) for o in range(-1, 2)}
+        plain = [self._at[i] + w[o] for i, o in enumerate(range(-2, 3))]
+        plain += [self._at[5 + i] + s[o] for i, o in enumerate(range(-2, 3))]
+        plain += [self._at[10 + i] + e[o] for i, o in enumerate(range(-1, 2))]
 
-        def mix(*parts: np.ndarray) -> np.ndarray:
-            h = np.zeros(n, dtype=np.uint64)
+        def mix(tag: int, *parts: np.ndarray) -> np.ndarray:
+            h = np.full(n, tag * 0x51ED27, dtype=np.uint64)
             for p in parts:
                 h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            return self._at[13] + (h % np.uint64(_HASHED)).astype(np.int64)
+            return self._at[13] + (h & np.uint64(_HASHED - 1)).astype(np.int64)
 
-        tag = lambda i: np.full(n, i)
         mixed = [
-            mix(tag(1), s[-1], s[0]), mix(tag(2), s[0], s[1]), mix(tag(3), s[-1], s[0], s[1]), mix(tag(4), w[-1], s[0]), mix(tag(5), s[0], w[1]),
-            mix(tag(6), w[-2], w[-1], s[0]), mix(tag(7), s[0], s[1], s[2]), mix(tag(8), s[-2], s[-1], s[0]), mix(tag(9), w[-1], s[0], s[1]), mix(tag(10), w[-1], w[0]),
+            mix(1, s[-1], s[0]), mix(2, s[0], s[1]), mix(3, s[-1], s[0], s[1]), mix(4, w[-1], s[0]), mix(5, s[0], w[1]),
+            mix(6, w[-2], w[-1], s[0]), mix(7, s[0], s[1], s[2]), mix(8, s[-2], s[-1], s[0]), mix(9, w[-1], s[0], s[1]), mix(10, w[-1], w[0]),
+            mix(11, c[0]), mix(12, w[-1], c[0]), mix(13, w[-2], c[0]), mix(14, c[-1], c[0], c[1]), mix(15, c[0], w[1]), mix(16, w[-3], w[-2], c[0]),
         ]
         return np.stack(plain + mixed, axis=1)
 
@@ -206,46 +236,68 @@ class Model:
         if not len(t.words):
             return t, np.zeros(0, dtype=np.int64)
         emission = np.zeros((len(t.words), 6), dtype=np.float32)
-        rows = self.features(t)
-        for column in rows.T:
+        for column in self.features(t).T:
             emission += self.weights[column]
-        a, b = self.skips(t)
-        belief = self._chain(emission, t)
-        sent_a = sent_b = None
-        for _ in range(ROUNDS if len(a) else 0):
+        return t, self.beliefs(emission, t.starts, self.skips(t))[0].argmax(axis=1)
+
+    def beliefs(self, emission: np.ndarray, starts: np.ndarray, skips: tuple[np.ndarray, np.ndarray], pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log marginals of the tokens; with ``pairs``, expected counts of neighbours' and of tied tokens' labels too."""
+        a, b = skips
+        tied = emission
+        sent_a = sent_b = np.zeros((len(a), 6), dtype=np.float32)
+        belief, counts = self._chain(tied, starts, pairs and not len(a))
+        tied_counts = np.zeros((6, 6))
+        for i in range(ROUNDS if len(a) else 0):
             # What a token sends over an edge leaves out what came in over the same edge.
-            out_a = belief[a] - (sent_b if sent_b is not None else 0)
-            out_b = belief[b] - (sent_a if sent_a is not None else 0)
+            out_a, out_b = belief[a] - sent_b, belief[b] - sent_a
             sent_a = _normal(_log_sum(out_a[:, :, None] + self.skip[None], 1))
             sent_b = _normal(_log_sum(out_b[:, :, None] + self.skip.T[None], 1))
             tied = emission.copy()
             np.add.at(tied, b, sent_a)
             np.add.at(tied, a, sent_b)
-            belief = self._chain(tied, t)
-        return t, belief.argmax(axis=1)
-
-    def _chain(self, emission: np.ndarray, t: Tokens) -> np.ndarray:
-        """Log marginals of the chains, all texts of similar length at once."""
+            belief, counts = self._chain(tied, starts, pairs and i == ROUNDS - 1)
+        if pairs and len(a):
+            joint = (belief[a] - sent_b)[:, :, None] + (belief[b] - sent_a)[:, None, :] + self.skip[None]
+            tied_counts = np.exp(_normal(joint.reshape(-1, 36))).sum(axis=0).reshape(6, 6)
+        return belief, counts, tied_counts
+
+    def _chain(self, emission: np.ndarray, starts: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log marginals of the chains and, with ``pairs``, expected counts of neighbouring labels; texts of similar length at once."""
         out = np.empty_like(emission)
-        sizes = np.diff(t.starts)
+        counts = np.zeros((6, 6))
+        move = np.exp(self.move)
+        sizes = np.diff(starts)
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
-        for group in np.array_split(order, max(1, len(order) // 200)):
-            if not len(group):
-                continue
-            longest = int(sizes[group].max())
-            at = t.starts[group][:, None] + np.arange(longest)[None]
+        first = 0
+        while first < len(order):
+            # Texts times the longest one's tokens are bounded, so one very long text pads no others.
+            last = first + 1
+            while last < len(order) and (last + 1 - first) * sizes[order[last]] <= _CELLS:
+                last += 1
+            group, first = order[first:last], last
+            longest = int(sizes[group[-1]])
+            at = starts[group][:, None] + np.arange(longest)[None]
             inside = np.arange(longest)[None] < sizes[group][:, None]
-            e = np.where(inside[:, :, None], emission[np.minimum(at, len(emission) - 1)], 0)
-            ahead, back = np.empty_like(e), np.zeros_like(e)
-            ahead[:, 0] = e[:, 0]
+            e = emission[np.minimum(at, len(emission) - 1)]
+            e = np.where(inside[:, :, None], np.exp(np.maximum(e - e.max(axis=2, keepdims=True), -60)), 1)
+            # Tokens first, so that each step works on memory in one piece.
+            e = np.ascontiguousarray(e.swapaxes(0, 1))
+            ahead, back = np.empty_like(e), np.ones_like(e)
+            ahead[0] = e[0] / e[0].sum(axis=1, keepdims=True)
             for k in range(1, longest):
-                ahead[:, k] = _log_sum(_normal(ahead[:, k - 1])[:, :, None] + self.move[None], 1) + e[:, k]
+                x = (ahead[k - 1] @ move) * e[k]
+                ahead[k] = x / x.sum(axis=1, keepdims=True)
             for k in range(longest - 2, -1, -1):
-                step = _log_sum(self.move[None] + _normal(back[:, k + 1] + e[:, k + 1])[:, None, :], 2)
-                back[:, k] = np.where(inside[:, k + 1][:, None], step, 0)
-            out[at[inside]] = _normal(ahead + back)[inside]
-        return out
+                x = (back[k + 1] * e[k + 1]) @ move.T
+                back[k] = np.where(inside[:, k + 1][:, None], x / x.sum(axis=1, keepdims=True), 1)
+            whole = np.log(ahead * back + 1e-30).swapaxes(0, 1)
+            out[at[inside]] = _normal(whole[inside])
+            if pairs and longest > 1:
+                joint = ahead[:-1, :, :, None] * move[None, None] * (e[1:] * back[1:])[:, :, None, :]
+                joint /= joint.sum(axis=(2, 3), keepdims=True)
+                counts += joint[inside.T[1:]].sum(axis=0)
+        return out, counts
 
     def find(self, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the private details in each text, checked for what each kind must have."""
@@ -267,7 +319,7 @@ class Model:
                     span = text[start:stop].strip(" ,;:[<>]\"'`-/")
                     if span.count("(") != span.count(")"):
                         span = span.strip("() ")
-                    if span and _holds(int(own[k]), span):
+                    if span and _holds(int(own[k]), span, self.first_names):
                         start = text.index(span, start)
                         found.append((start, start + len(span), KINDS[own[k] - 1]))
                     k = end + 1
@@ -285,7 +337,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x - top - np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
 
 
-def _holds(label: int, span: str) -> bool:
+def _holds(label: int, span: str, first_names: frozenset[str]) -> bool:
     """What a span of a kind must have, whatever the model says."""
     digits = sum(c.isdigit() for c in span)
     if label == EMAIL:
@@ -297,7 +349,7 @@ def _holds(label: int, span: str) -> bool:
     if label == ADDRESS:
         return digits >= 1 and bool(re.search(rf"{_L}{{3}}", span))
     words = re.findall(rf"{_L}+(?:['’-]{_L}+)*", re.sub(r"\bDr\.", "", span))
-    return len(words) >= 2 and any(len(w) > 1 for w in words) and any(w[0].isupper() for w in words)
+    return len(words) >= 2 and any(len(w) > 1 for w in words) and any(w[0].isupper() or w in first_names for w in words)
 
 
 def weak_labels(text: str, first_names: set[str], surnames: set[str]) -> list[tuple[int, int, int]]:
@@ -324,8 +376,8 @@ def weak_labels(text: str, first_names: set[str], surnames: set[str]) -> list[tu
 _NOT_NAMES = {"The", "A", "Is", "In", "And", "Of", "To", "Inc", "LLC", "Ltd", "AG", "GmbH"}
 
 
-def fit(texts: Sequence[str], names: Sequence[str], epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """Train on texts labelled by ``weak_labels``; ``names`` are known full names, first name first."""
+def known_names(names: Sequence[str]) -> tuple[set[str], set[str]]:
+    """First names and surnames in full names: a word is a first name if it stands before three different ones."""
     parts = [re.sub(r"\(.*?\)|\b[A-Z]\. ", " ", n).replace(",", " ").split() for n in names if n and n != n.lower() and n != n.upper()]
     counted = Counter(p[0] for p in parts if len(p) >= 2)
     partners: dict[str, set[str]] = {}
@@ -334,8 +386,26 @@ def fit(texts: Sequence[str], names: Sequence[str], epochs: int = EPOCHS, seed:
             partners.setdefault(p[0], set()).add(p[-1])
     first_names = {w for w in counted if len(partners[w]) >= 3} - _NOT_NAMES
     surnames = {w for p in parts if len(p) >= 2 and p[0] in first_names for w in p[1:] if w[:1].isupper()} - first_names
-    first_names |= {p[-1] for p in parts if len(p) == 2 and p[0] in surnames and p[-1] in counted}
-    raw = Model({}, {}, {})
+    return first_names | {p[-1] for p in parts if len(p) == 2 and p[0] in surnames and p[-1] in counted}, surnames
+
+
+def labelled(texts: Sequence[str], names: Sequence[str], invented: int, r: random.Random) -> tuple[list[str], list[list[tuple[int, int, int]]], frozenset[str]]:
+    """Training texts, their details and the first names: real texts as they are and with other details, and invented ones."""
+    first_names, surnames = known_names(names)
+    plain = sorted(w for w in first_names if len(w) > 2)
+    whole: list[tuple[str, list[tuple[int, int, int]]]] = []
+    for text in texts:
+        spans = weak_labels(text, first_names, surnames)
+        whole.append((text, spans))
+        if spans:
+            whole.append(details.joined(details.varied(text, spans, r, plain)))
+    whole += [details.joined(details.sentence(r, plain)) for _ in range(invented)]
+    return [t for t, _ in whole], [s for _, s in whole], frozenset(w.lower() for w in plain)
+
+
+def fit(texts: Sequence[str], names: Sequence[str], epochs: int = EPOCHS, seed: int = 0, invented: int = INVENTED) -> Model:
+    """Train on real and invented texts; ``names`` are known full names, first name first."""
+    texts, spans, first_names = labelled(texts, names, invented, random.Random(seed))
     words, shapes, tails = Counter(), Counter(), Counter()
     for text in texts:
         for m in _TOKEN.finditer(text):
@@ -345,65 +415,82 @@ def fit(texts: Sequence[str], names: Sequence[str], epochs: int = EPOCHS, seed:
                 tails[lower[-4:]] += 1
             shapes[_shape(m.lastgroup, m.group())] += 1
     index = lambda c, least: {w: i for i, w in enumerate(sorted(w for w, n in c.items() if n >= least), 1)}
-    raw = Model(index(words, 4), index(shapes, 2), index(tails, 4))
-    t = raw.tokens(texts)
-    gold = np.zeros(len(t.words), dtype=np.int64)
-    for i, text in enumerate(texts):
-        for start, end, label in weak_labels(text, first_names, surnames):
-            for k, (a, b) in enumerate(t.spans[i]):
-                if a >= start and b <= end:
-                    gold[t.starts[i] + k] = label
-    rows = raw.features(t)
-    weights = np.zeros((int(raw._at[-1]), 6), dtype=np.float32)
-    scale = np.full_like(weights, 1e-4)
-    random = np.random.RandomState(seed)
+    model = Model(index(words, 4), index(shapes, 3), index(tails, 4), first_names=first_names)
+    model.weights = np.zeros((int(model._at[-1]), 6), dtype=np.float32)
+    model.move, model.skip = np.zeros((6, 6), dtype=np.float32), np.zeros((6, 6), dtype=np.float32)
+    slow, slow_move, slow_skip = np.full_like(model.weights, 1e-4), np.full((6, 6), 1e-4), np.full((6, 6), 1e-4)
+    random_order = np.random.RandomState(seed)
     for _ in range(epochs):
-        order = random.permutation(len(gold))
-        for at in range(0, len(order), 2048):
-            batch = order[at : at + 2048]
-            f = rows[batch]
-            p = np.exp(_normal(weights[f].sum(axis=1)))
-            p[np.arange(len(batch)), gold[batch]] -= 1
-            flat, inverse = np.unique(f, return_inverse=True)
-            step = np.zeros((len(flat), 6), dtype=np.float32)
-            np.add.at(step, inverse.reshape(f.shape), p[:, None, :].astype(np.float32))
-            scale[flat] += step * step
-            weights[flat] -= 0.3 * step / np.sqrt(scale[flat])
-    raw.weights = weights
-    share = np.bincount(gold, minlength=6) + 1.0
-    share /= share.sum()
-    joint = np.ones((6, 6)) * 0.5
-    same_text = np.ones(max(0, len(gold) - 1), dtype=bool)
-    same_text[t.starts[1:-1][(t.starts[1:-1] > 0) & (t.starts[1:-1] < len(gold))] - 1] = False
-    np.add.at(joint, (gold[:-1][same_text], gold[1:][same_text]), 1)
-    raw.move = (0.3 * np.clip(np.log(joint / joint.sum()) - np.log(share[:, None] * share[None]), -5, 5)).astype(np.float32)
-    a, b = raw.skips(t)
-    tied = np.ones((6, 6)) * 0.5
-    if len(a):
-        np.add.at(tied, (gold[a], gold[b]), 1)
-    row, column = tied.sum(axis=1) / tied.sum(), tied.sum(axis=0) / tied.sum()
-    raw.skip = (0.5 * np.clip(np.log(tied / tied.sum()) - np.log(row[:, None] * column[None]), -3, 3)).astype(np.float32)
-    return raw
-
-
-def screened(column: Column) -> Column:
-    """The value where it may hold a private detail, else null."""
-    return F.when(column.rlike(SCREEN), column)
-
-
-def train(df: DataFrame, id_col: str, fields: dict[str, Column], names: DataFrame) -> Model:
-    """Fit on at most ``SAMPLE_ROWS`` rows with a screened value, by the hash of their ids, and as many distinct names."""
-    per_field = max(1, SAMPLE_ROWS // (2 * max(1, len(fields) - 1)))
-    texts: list[str] = []
-    for i, column in enumerate(fields.values()):
-        taken = df.select(screened(column).alias("t"), F.col(id_col).alias("key")).where("t is not null")
-        texts += [r.t for r in bounded_sample(taken, F.col("key"), SAMPLE_ROWS // 2 if i == 0 else per_field)]
-    known = names.where("name is not null").select("name").distinct()
-    return fit(texts, [r.name for r in bounded_sample(known, F.col("name"), SAMPLE_ROWS)])
+        order = random_order.permutation(len(texts))
+        for at in range(0, len(order), STEP):
+            batch = order[at : at + STEP].tolist()
+            t = model.tokens([texts[i] for i in batch])
+            if not len(t.words):
+                continue
+            gold = np.zeros(len(t.words), dtype=np.int64)
+            for k, i in enumerate(batch):
+                for start, end, label in spans[i]:
+                    for j, (a, b) in enumerate(t.spans[k]):
+                        if a >= start and b <= end:
+                            gold[t.starts[k] + j] = label
+            rows, (a, b) = model.features(t), model.skips(t)
+            belief, moved, tied = model.beliefs(model.weights[rows].sum(axis=1), t.starts, (a, b), pairs=True)
+            wrong = np.exp(belief)
+            wrong[np.arange(len(gold)), gold] -= 1
+            flat, inverse = np.unique(rows, return_inverse=True)
+            inverse = inverse.ravel()
+            step = np.stack([np.bincount(inverse, np.repeat(wrong[:, k], rows.shape[1]), len(flat)) for k in range(6)], axis=1).astype(np.float32)
+            slow[flat] += step * step
+            model.weights[flat] -= 0.25 * step / np.sqrt(slow[flat])
+            within = np.ones(max(0, len(gold) - 1), dtype=bool)
+            border = t.starts[1:-1]
+            within[border[(border > 0) & (border < len(gold))] - 1] = False
+            np.add.at(moved, (gold[:-1][within], gold[1:][within]), -1)
+            slow_move += moved * moved
+            model.move = (model.move - 0.25 * moved / np.sqrt(slow_move)).astype(np.float32)
+            np.add.at(tied, (gold[a], gold[b]), -1)
+            slow_skip += tied * tied
+            model.skip = (model.skip - 0.25 * tied / np.sqrt(slow_skip)).astype(np.float32)
+    return model
+
+
+def train(df: DataFrame, id_col: str, fields: dict[str, Column], name: Column, more_names: DataFrame) -> Model:
+    """Fit on at most ``SAMPLE_ROWS`` values that may hold a detail, and as many distinct names, chosen by hashes.
+
+    One pass: rows are thinned by the hash of their ids to a number that does not grow with the
+    table, and of these at most an even share of each field is taken, the first
+    ``SAMPLE_CHARS`` characters of each value. ``name`` is a column of authors' names,
+    ``more_names`` a table with a column ``name``.
+    """
+    total = df.count()
+    width = 1 << 40
+    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(width))
+    most = SAMPLE_ROWS // max(1, len(fields))
+    thin = df.where(order < int(width * min(1.0, 8 * SAMPLE_ROWS / max(1, total))))
+    values = F.array(*(F.struct(F.lit(f).alias("f"), F.when(c.rlike(SCREEN), F.substring(c, 1, SAMPLE_CHARS)).alias("v")) for f, c in fields.items()), F.struct(F.lit("").alias("f"), name.alias("v")))
+    each = thin.select(order.alias("o"), F.explode(values).alias("x")).select("o", "x.f", "x.v").where("v is not null and v <> ''")
+    # The first field is the text itself and has half of the sample.
+    text = next(iter(fields))
+    limit = F.when(F.col("f") == "", SAMPLE_ROWS).when(F.col("f") == text, SAMPLE_ROWS // 2).otherwise(most // 2 + 1)
+    rank = F.row_number().over(Window.partitionBy("f").orderBy("o", "v"))
+    taken = each.withColumn("r", rank).where((F.col("r") <= SAMPLE_ROWS) & (F.col("r") <= limit)).select("f", "v").collect()
+    known = more_names.where("name is not null").select("name").distinct()
+    names = {r.v for r in taken if r.f == ""} | {r.name for r in bounded_sample(known, F.col("name"), SAMPLE_ROWS)}
+    return fit([r.v for r in taken if r.f != ""], sorted(names))
+
+
+def _found(model: Model, values: Sequence[str | None]) -> dict[str, list[tuple[int, int, str]]]:
+    """The details of each distinct value that has some."""
+    distinct = [v for v in dict.fromkeys(values) if v and model.anchored(v)]
+    out = {}
+    for first in range(0, len(distinct), 2_000):
+        part = distinct[first : first + 2_000]
+        out.update((v, found) for v, found in zip(part, model.find(part)) if found)
+    return out
 
 
 def find_private(df: DataFrame, model: Model, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """(id, field, kind, start, end, placeholder text): one row per private detail.
+    """(id, field, kind, start, end): one row per private detail.
 
     ``start`` and ``end`` are character offsets. Null and empty values have none; repeated rows
     repeat theirs; an empty table gives an empty result; other columns are never read. No shuffle.
@@ -414,23 +501,20 @@ def find_private(df: DataFrame, model: Model, id_col: str, fields: dict[str, Col
     id_type = df.schema[id_col].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = shared.value.find
         for batch in batches:
             at, out = [], []
             for k, name in enumerate(names):
                 values = batch.column(k + 1).to_pylist()
-                rows = [i for i, v in enumerate(values) if v]
-                for first in range(0, len(rows), 2_000):
-                    part = rows[first : first + 2_000]
-                    for i, found in zip(part, look([values[i] for i in part])):
-                        for start, end, kind in found:
-                            at.append(i)
-                            out.append((name, kind, start, end))
+                found = _found(shared.value, values)
+                for i, value in enumerate(values):
+                    for start, end, kind in found.get(value, ()):
+                        at.append(i)
+                        out.append((name, kind, start, end))
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "field", "kind", "start", "end"])
 
-    taken = df.select(F.col(id_col).alias("__id"), *(screened(c).alias(n) for n, c in fields.items())).where(F.coalesce(*(F.col(n) for n in names)).isNotNull())
+    taken = df.select(F.col(id_col).alias("__id"), *(c.alias(n) for n, c in fields.items())).where(F.coalesce(*(F.col(n) for n in names)).isNotNull())
     return taken.mapInArrow(find, f"id {id_type}, field string, kind string, start int, end int").withColumnRenamed("id", id_col)
 
 
@@ -442,21 +526,19 @@ def redact(df: DataFrame, model: Model, id_col: str, fields: dict[str, Column])
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = list(fields)
     id_type = df.schema[id_col].dataType.simpleString()
-    maybe = regex.compile(SCREEN)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = shared.value.find
         for batch in batches:
             arrays = [batch.column(0)]
             for k in range(len(names)):
                 values = batch.column(k + 1).to_pylist()
-                rows = [i for i, v in enumerate(values) if v and maybe.search(v)]
-                for first in range(0, len(rows), 2_000):
-                    part = rows[first : first + 2_000]
-                    for i, found in zip(part, look([values[i] for i in part])):
-                        for start, end, kind in reversed(found):
-                            values[i] = f"{values[i][:start]}[{kind}]{values[i][end:]}"
-                arrays.append(pa.array(values, pa.string()))
+                clean = {}
+                for value, found in _found(shared.value, values).items():
+                    text = value
+                    for start, end, kind in reversed(found):
+                        text = f"{text[:start]}[{kind}]{text[end:]}"
+                    clean[value] = text
+                arrays.append(pa.array([clean.get(v, v) for v in values], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, ["id", *names])
 
     taken = df.select(F.col(id_col).alias("__id"), *(c.alias(n) for n, c in fields.items()))

@@ -66,7 +66,7 @@ def _private_fields() -> dict:
 
 def _private_model(spark: SparkSession, d: str) -> pii.Model:
     tasks = table(spark, d, "tasks")
-    return pii.train(tasks, "task_id", _private_fields(), table(spark, d, "git_users").select("name").unionByName(tasks.select("git_user.name")))
+    return pii.train(tasks, "task_id", _private_fields(), F.col("git_user.name"), table(spark, d, "git_users"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
