@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scholia.api import scan_table
 from scholia.functions.globs import any_glob
-from scholia.functions.langs import GENERIC, LANGUAGES, by_alias, language_of
+from scholia.functions.langs import EXTENSIONS, GENERIC, LANGUAGES, NAMES, by_alias, language_of
 from scholia.functions.reports import github_line, json_line, plain_line, severity
 from scholia.operators import blame, paths
 from scholia.operators.lexer import comments_of
@@ -35,17 +35,65 @@ def _query(sql: str | None = None, name: str | None = None):
     return add
 
 
-# Comments of source files, against the record of an earlier scan.
+# Comments of source files, against a lexer in SQL: one pattern per language cuts a file into strings, comments and the rest.
 
 
 def _comments(spark: SparkSession, d: str) -> DataFrame:
-    """Comments of all files, line ends unified, repeated rows once; the record, and so the SQL, lacks some files."""
+    """Comments of all files, line ends unified, repeated rows once."""
     files = table(spark, d, "source_files").select("file_id", F.col("path").alias("p"), "content")
     found = comments_of(files, "p", "content", ("file_id",))
     return found.withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))).select("file_id", "text", "line", "multiline", "start_tok", "end_tok").distinct()
 
 
-_COMMENTS_SQL = "SELECT DISTINCT file_id, replace(text, chr(13) || chr(10), chr(10)) AS text, line, multiline, start_tok, end_tok FROM comments"
+# Pieces of the SQL patterns. A string ends at its mark unless a backslash stands right before it; what is never closed takes the rest of the file.
+_DQ = r'"(?:[^"\\]|\\+[^\\])*"|"(?:[^"\\]|\\+[^\\])*\\*\z'
+_SQ = r"'(?:[^'\\]|\\+[^\\])*'|'(?:[^'\\]|\\+[^\\])*\\*\z"
+_STAR = r"/\*.*?\*/|/\*.*\z"
+# One comment inside another; behind an inner end one more character is taken before anything counts again.
+_NESTED = r"\(\*(?:\(\*(?:[^*]|\*+[^*)])*\*+\).|[^(*]|\(+[^*(]|\*+[^*)])*\*+\)|\(\*.*\z"
+_ARROW = r"<!--.*?-->|<!--.*\z"
+#: Extensions, pattern of strings and comments, characters that begin one, marks of line comments, marks of blocks.
+_SQL_LEXERS: dict[str, tuple[tuple[str, ...], str, str, tuple[str, ...], tuple[tuple[str, str], ...]]] = {
+    "python": (("py",), rf'""".*?"""|""".*\z|{_DQ}|{_SQ}|#[^\n]*', "\"'#", ("#",), (('"""', '"""'),)),
+    "ruby": (("rb",), rf"(?m:^)=begin.*?(?m:^)=end|(?m:^)=begin.*\z|%\{{[^}}]*\}}|{_DQ}|{_SQ}|#[^\n]*", "\"'#=%", ("#",), (("=begin", "=end"),)),
+    "lua": (("lua",), rf"--\[\[.*?--\]\]|--\[\[.*\z|{_DQ}|{_SQ}|--[^\n]*", "\"'-", ("--",), (("--[[", "--]]"),)),
+    "haskell": (("hs",), rf"\{{-.*?-\}}|\{{-.*\z|{_DQ}|{_SQ}|--[^\n]*", "\"'{-", ("--",), (("{-", "-}"),)),
+    "ocaml": (("ml",), rf"{_NESTED}|{_DQ}|{_SQ}", "\"'(", (), (("(*", "*)"),)),
+    "sql": (("sql",), rf"""{_STAR}|"(?:[^"]|"")*"|"[^"]*\z|'(?:[^']|'')*'|'[^']*\z|--[^\n]*""", "\"'-/", ("--",), (("/*", "*/"),)),
+    "php": (("php",), rf"{_STAR}|{_DQ}|{_SQ}|(?:#|//)[^\n]*", "\"'#/", ("#", "//"), (("/*", "*/"),)),
+    "rust": (("rs",), rf"{_STAR}|{_DQ}|//[^\n]*", '"/', ("//",), (("/*", "*/"),)),
+    "shell": (("sh", "yaml"), rf"{_DQ}|{_SQ}|#[^\n]*", "\"'#", ("#",), ()),
+    "c_family": (("c", "java", "js"), rf"{_STAR}|{_DQ}|{_SQ}|//[^\n]*", "\"'/", ("//",), (("/*", "*/"),)),
+    "go": (("go",), rf"{_STAR}|`[^`]*`|`[^`]*\z|{_DQ}|{_SQ}|//[^\n]*", "\"'`/", ("//",), (("/*", "*/"),)),
+    "html": (("html",), rf"{_ARROW}|{_DQ}|{_SQ}", "\"'<", (), (("<!--", "-->"),)),
+    "generic": (("tsx",), rf"{_STAR}|{_ARROW}|{_DQ}|{_SQ}|(?:#|//)[^\n]*", "\"'#/<", ("//", "#"), (("/*", "*/"), ("<!--", "-->"))),
+}
+
+
+def _lexed(name: str) -> str:
+    """SQL: every comment of the files of one lexer, text as it stands."""
+    extensions, tokens, begin, lines, blocks = _SQL_LEXERS[name]
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    other = "[^" + "".join("\\" + c if c in "-[]^" else c for c in begin) + "]+|."
+    starts = " ".join(f"WHEN starts_with(tok, {quote(a)}) THEN {quote(a)}" for a, _ in blocks) + " " + " ".join(f"WHEN starts_with(tok, {quote(a)}) THEN {quote(a)}" for a in lines)
+    ends = " ".join(f"WHEN starts_with(tok, {quote(a)}) THEN {quote(b)}" for a, b in blocks)
+    closed = " OR ".join([*(f"(starts_with(tok, {quote(a)}) AND ends_with(tok, {quote(b)}) AND len(tok) >= {len(a) + len(b)})" for a, b in blocks), *(f"(starts_with(tok, {quote(a)}) AND NOT ({' OR '.join(f'starts_with(tok, {quote(b)})' for b, _ in blocks) or 'false'}))" for a in lines)])
+    # A piece that only begins a comment, at the very end of a file, is none.
+    return f"""
+SELECT file_id, repo, path, CASE WHEN end_tok IS NULL THEN regexp_replace(tok, chr(13) || '$', '') ELSE tok END AS text, CAST(line AS INTEGER) AS line, end_tok IS NOT NULL AS multiline, start_tok, end_tok FROM (
+  SELECT *, CASE {starts} END AS start_tok, {f"CASE {ends} END" if ends else "CAST(NULL AS VARCHAR)"} AS end_tok FROM (
+    SELECT file_id, repo, path, tok, 1 + coalesce(sum(len(tok) - len(replace(tok, chr(10), ''))) OVER (PARTITION BY file_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM (
+      SELECT file_id, repo, path, unnest(toks) AS tok, generate_subscripts(toks, 1) AS k FROM (
+        SELECT file_id, repo, path, regexp_extract_all(content, {quote(tokens + "|" + other)}, 0, 's') AS toks FROM source_files
+        WHERE content <> '' AND regexp_extract(path, '[.]([a-z]+)$', 1) IN ({", ".join(map(quote, extensions))}))))
+  WHERE {closed})"""
+
+
+def _unified(*names: str) -> str:
+    return "SELECT DISTINCT file_id, replace(text, chr(13) || chr(10), chr(10)) AS text, line, multiline, start_tok, end_tok FROM (" + " UNION ALL ".join(_lexed(n) for n in names) + ")"
+
+
+_COMMENTS_SQL = _unified(*_SQL_LEXERS)
 
 
 @_query(_COMMENTS_SQL)
@@ -68,10 +116,17 @@ def comment_lines(spark: SparkSession, d: str) -> DataFrame:
     return _comments(spark, d).groupBy("file_id").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n"))
 
 
-def _of_extension(*extensions: str):
-    listed = ", ".join(f"'{e}'" for e in extensions)
-    where = f"regexp_extract(path, '[.]([a-z]+)$', 1) IN ({listed})"
-    sql = f"SELECT DISTINCT file_id, replace(text, chr(13) || chr(10), chr(10)) AS text, line FROM comments WHERE {where}"
+@_query("SELECT DISTINCT file_id, line, replace(text, chr(13) || chr(10), chr(10)) AS text, true AS found FROM comments")
+def comments_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The record of an earlier scan, which lacks some files, and whether each of its comments is found again."""
+    record = table(spark, d, "comments").select("file_id", "line", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text")).distinct()
+    found = _comments(spark, d).select("file_id", "line", "text", F.lit(True).alias("f")).distinct()
+    return record.join(found, ["file_id", "line", "text"], "left").select("file_id", "line", "text", F.coalesce("f", F.lit(False)).alias("found"))
+
+
+def _of_extension(*names: str):
+    extensions = [e for n in names for e in _SQL_LEXERS[n][0]]
+    sql = f"SELECT DISTINCT file_id, text, line FROM ({_unified(*names)})"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         files = table(spark, d, "source_files").select("file_id", F.col("path").alias("p"), "content").where(F.regexp_extract("p", "[.]([a-z]+)$", 1).isin(*extensions))
@@ -80,21 +135,21 @@ def _of_extension(*extensions: str):
     return sql, run
 
 
-for _name, _extensions in {
+for _name, _lexers in {
     "html_comments": ("html",),
-    "generic_fallback": ("tsx",),
-    "lang_python": ("py",),
-    "lang_ruby": ("rb",),
+    "generic_fallback": ("generic",),
+    "lang_python": ("python",),
+    "lang_ruby": ("ruby",),
     "lang_lua": ("lua",),
-    "lang_haskell": ("hs",),
-    "lang_ocaml": ("ml",),
+    "lang_haskell": ("haskell",),
+    "lang_ocaml": ("ocaml",),
     "lang_sql": ("sql",),
     "lang_php": ("php",),
-    "lang_rust": ("rs",),
-    "lang_shell": ("sh", "yaml"),
-    "lang_c_family": ("c", "java", "js", "go"),
+    "lang_rust": ("rust",),
+    "lang_shell": ("shell",),
+    "lang_c_family": ("c_family", "go"),
 }.items():
-    _sql, _run = _of_extension(*_extensions)
+    _sql, _run = _of_extension(*_lexers)
     _query(_sql, _name)(_run)
 
 
@@ -118,16 +173,16 @@ def lang_override(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").where("lang is not null").select("file_id", "lang", F.udf(by_alias, "string", useArrow=True)("lang").alias("language"))
 
 
-def _catalogue() -> list[tuple[str, str, str, str]]:
-    ordered = sorted(n for n in LANGUAGES if n != GENERIC)
-    return [(n, " ".join(r.start for r in LANGUAGES[n].lines), " ".join(f"{r.start} {r.end}" for r in LANGUAGES[n].blocks), " ".join(r.start for r in LANGUAGES[n].strings)) for n in ordered]
-
-
-@_query(
-    "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in _catalogue()) + ") AS t(lang, line_tokens, block_tokens, string_tokens)"
-)
+@_query()
 def lang_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_catalogue(), "lang string, line_tokens string, block_tokens string, string_tokens string").orderBy("lang")
+    """Every language with its file names, extensions and delimiters."""
+    names = lambda of, n, dot="": " ".join(sorted(f"{dot}{k}" for k, v in of.items() if v == n))
+    rows = [
+        (n, names(NAMES, n), names(EXTENSIONS, n, "."), " ".join(r.start for r in rules.lines), " ".join(f"{r.start} {r.end}" for r in rules.blocks), " ".join(r.start for r in rules.strings))
+        for n, rules in sorted(LANGUAGES.items())
+        if n != GENERIC
+    ]
+    return spark.createDataFrame(rows, "lang string, file_names string, extensions string, line_tokens string, block_tokens string, string_tokens string").orderBy("lang")
 
 
 # Markers, from recorded comments.
@@ -139,7 +194,7 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '^{_TRIM}|{_TRIM}$', '', 'g')"
 
 
-def _markers_sql(types=DEFAULT_TYPES) -> str:
+def _markers_sql(types=DEFAULT_TYPES, source: str = "SELECT * FROM comments", key: str = "comment_id, file_id") -> str:
     p = {k: v.replace("(?d)", "").replace("'", "''") for k, v in patterns(types).items()}
 
     def part(text: str, pattern: str) -> str:
@@ -149,10 +204,10 @@ def _markers_sql(types=DEFAULT_TYPES) -> str:
 
     return f"""
 WITH trimmed AS (
-  SELECT comment_id, file_id, line, multiline, start_tok, end_tok, {_trim("text")} AS t FROM comments WHERE text IS NOT NULL
+  SELECT {key}, line, multiline, start_tok, end_tok, {_trim("text")} AS t FROM ({source}) WHERE text IS NOT NULL
 ), lines AS (
-  SELECT comment_id, file_id, line, start_tok, end_tok, multiline, unnest(string_split(t, chr(10))) AS own, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS k FROM trimmed WHERE multiline
-  UNION ALL SELECT comment_id, file_id, line, start_tok, end_tok, multiline, t, 0 FROM trimmed WHERE NOT multiline
+  SELECT {key}, line, start_tok, end_tok, multiline, unnest(string_split(t, chr(10))) AS own, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS k FROM trimmed WHERE multiline
+  UNION ALL SELECT {key}, line, start_tok, end_tok, multiline, t, 0 FROM trimmed WHERE NOT multiline
 ), bare AS (
   SELECT *, CASE WHEN multiline THEN rtrim(ltrim(own, start_tok), end_tok) ELSE ltrim(own, start_tok) END AS b FROM lines
 ), parts AS (
@@ -160,7 +215,7 @@ WITH trimmed AS (
     WHEN regexp_matches(b, '{p["spaced"]}') THEN {part("b", p["spaced"])}
     WHEN regexp_matches(b, '{p["tight"]}') THEN {part("b", p["tight"])} END AS p FROM bare
 )
-SELECT comment_id, file_id, p.type AS type, {_trim("own")} AS text, p.label AS label, p.message AS message, CAST(line + k AS INTEGER) AS line, line AS comment_line FROM parts WHERE p.type <> ''
+SELECT {key}, p.type AS type, {_trim("own")} AS text, p.label AS label, p.message AS message, CAST(line + k AS INTEGER) AS line, line AS comment_line FROM parts WHERE p.type <> ''
 """
 
 
@@ -178,11 +233,6 @@ def todo_line(spark: SparkSession, d: str) -> DataFrame:
     return markers_of(table(spark, d, "comments").where("not multiline")).select("comment_id", "type", "label", "message", "line")
 
 
-@_query(f"SELECT comment_id, t.type, t.label, t.message, t.line, t.comment_line FROM ({_markers_sql()}) t JOIN comments USING (comment_id) WHERE multiline")
-def todo_block(spark: SparkSession, d: str) -> DataFrame:
-    return markers_of(table(spark, d, "comments").where("multiline")).select("comment_id", "type", "label", "message", "line", "comment_line")
-
-
 @_query(_markers_sql(("FIXME", "HACK")))
 def custom_types(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d, ("FIXME", "HACK"))
@@ -208,7 +258,7 @@ def todo_messages(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).where("message <> ''").groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
 
 
-@_query()
+@_query(_markers_sql(source=" UNION ALL ".join(_lexed(n) for n in _SQL_LEXERS), key="file_id, repo, path"))
 def scan(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline: files to markers in one narrow stage."""
     files = table(spark, d, "source_files").select("file_id", "repo", "path", "content")
@@ -231,13 +281,7 @@ def _path_query(condition: str, predicate: Callable[[Column], Column], name: str
 _path_query(f"NOT regexp_matches({_BASE}, '^(?:.*[.]py|.*[.]go)$')", lambda p: ~paths.excluded(p, ["*.py", "*.go"]), "exclude_glob")
 _path_query(f"len(list_filter({_DIRS}, lambda s: regexp_matches(s, '^(?:test.*|scripts)$'))) = 0", lambda p: ~paths.in_excluded_dir(p, ["test*", "scripts/"]), "exclude_dir_glob")
 _path_query("len(list_filter(string_split(path, '/'), lambda s: starts_with(s, '.') AND s NOT IN ('.', '..'))) = 0", lambda p: ~paths.hidden(p), "hidden_paths")
-_path_query(f"len(list_filter({_DIRS}, lambda s: s IN ('.git', '.hg', '.svn', '.github'))) > 0", lambda p: paths.in_vcs_dir(p) | F.exists(paths.dir_names(p), lambda s: s == ".github"), "vcs_dirs")
 _path_query(f"len(list_filter({_DIRS}, lambda s: regexp_matches(s || '/', '{paths.VENDORED}'))) > 0", paths.vendored, "vendored_dirs")
-_path_query(
-    "NOT coalesce(regexp_matches(path, '" + paths.GENERATED_NAME + "'), false)",
-    lambda p: ~paths.generated(p, F.lit(None).cast("string")),
-    "generated_filter",
-)
 _path_query(
     f"len(list_filter({_DIRS}, lambda s: regexp_matches(s || '/', '{paths.VENDORED}') OR s IN ('.git', '.hg', '.svn') OR s = 'docs')) = 0 AND NOT ends_with(path, '.sql')",
     lambda p: paths.keep(p, exclude=["*.sql"], exclude_dirs=["docs"]),
@@ -245,6 +289,30 @@ _path_query(
 )
 
 
+@_query("SELECT n_nationkey FROM nation WHERE n_nationkey % 5 < 3")
+def vcs_dirs(spark: SparkSession, d: str) -> DataFrame:
+    """Of paths written from nations' keys those below a folder of a version control system."""
+    middle = F.element_at(F.array(*map(F.lit, (".git/", "sub/.hg/", ".svn/x/", ".github/", "git/"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("src/"), middle, F.col("n_name"), F.when(F.col("n_nationkey") % 5 == 4, ".git").otherwise(""))
+    return table(spark, d, "nation").where(paths.in_vcs_dir(path)).select("n_nationkey")
+
+
+#: Name and first line of written files; the first of each are generated.
+_GENERATED = (
+    ("package-lock.json", "{"), ("yarn.lock", "# yarn"), ("api.pb.go", "package api"), ("api_pb2.py", "x = 1"), ("site.min.js", "f()"), ("a.go", "// Code generated by stringer. DO NOT EDIT."),
+    ("b.js", "/* @generated */"), ("package.json", "{"), ("a_test.go", "// Code written by hand."), ("min.js", "f()"), ("c.py", "# generated? no"), ("lock.py", "x = 1"),
+)
+
+
+@_query("SELECT n_nationkey, 2 AS line FROM nation WHERE n_nationkey % 12 >= 7")
+def generated_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Of files written from nations' keys, each with a marker in its second line, those that a scan does not take for generated."""
+    pick = lambda i: F.element_at(F.array(*(F.lit(g[i]) for g in _GENERATED)), (F.col("n_nationkey") % len(_GENERATED) + 1).cast("int"))
+    mark = F.when(pick(0).rlike("[.](?:py|lock)$"), "# TODO: x\n").otherwise("// TODO: x\n")
+    files = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("src/"), pick(0)).alias("path"), F.concat(pick(1), F.lit("\n"), mark).alias("content"))
+    return scan_table(files, keep=("n_nationkey",)).select("n_nationkey", "line")
+
+
 # Authors and reports, from recorded tasks.
 
 _KEY = ("repo", "path", "line")
@@ -355,6 +423,12 @@ _written("lex_order", "dart", ["'/// TODO('", "p_brand", "'): '", "p_name", _NL]
 _written("eof_guard", "ex", ["'# TODO: '", "p_name", _NL, "'x = 1; y = 22222'", _NL, "'# TODO: no'"], _rows((1, "TODO", "''", "p_name")))
 _written("at_prefix", "py", ["'# @TODO('", "p_brand", "') - '", "p_name", _NL], _rows((1, "TODO", "p_brand", "p_name")))
 _written("javadoc_star", "java", ["'/**'", _NL, "' * @todo: '", "p_name", _NL, "' */'", _NL], _rows((2, "todo", "''", "p_name")))
+_written(
+    "todo_block",
+    "c",
+    ["'/* TODO: '", "p_name", _NL, "' * @FIXME('", "p_brand", "'): '", "p_type", _NL, "'   see TODO: no'", _NL, "' HACK - '", "p_name", "' */ x = 1; /* BUG: '", "p_brand", "' */'", _NL],
+    _rows((1, "TODO", "''", "p_name"), (2, "FIXME", "p_brand", "p_type"), (4, "HACK", "''", "p_name"), (4, "BUG", "''", "p_brand")),
+)
 _written("nested_comments", "ml", ["'(* (* TODO: inner *) '", _NL, "'TODO: '", "p_name", "' *)'", _NL, "'let x = 1'", _NL], _rows((2, "TODO", "''", "p_name")))
 
 
