@@ -142,7 +142,21 @@ WITH pieces AS (
 )
 """
 
+_P6_NGRAMS = f"""
+WITH lists AS (
+  SELECT 'label' AS field, task_id, list_filter(regexp_split_to_array(lower(label), '{_SEPARATORS}'), lambda x: x <> '') AS t FROM tasks WHERE label IS NOT NULL
+  UNION ALL
+  SELECT 'type', task_id, [type] FROM tasks WHERE type IS NOT NULL AND type <> ''
+), begins AS (
+  SELECT field, task_id, t, unnest(range(1, len(t) + 1)) AS p FROM lists
+), grams AS (
+  SELECT field, task_id, list_slice(t, p, p + n - 1) AS g, n FROM begins, (VALUES (1), (2), (3)) AS s(n) WHERE p + n - 1 <= len(t)
+)
+SELECT field, array_to_string(g, ' ') AS ngram, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT task_id) AS records FROM grams GROUP BY field, g, n
+"""
+
 ORACLES: dict[str, str] = {
+    "p6_ngrams": _P6_NGRAMS,
     "p6_found": _P6 + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_terms": _P6 + "SELECT field, term, occurrences, records, mark FROM marked",
 }
