@@ -11,6 +11,7 @@ The vocabulary and its merges are read from a public tokenizer's file at run tim
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import re
@@ -18,6 +19,7 @@ from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
+import ahocorasick
 import regex
 
 #: Folder of the public tokenizers' files unless a caller names another.
@@ -58,11 +60,12 @@ class Vocabulary:
         self.size_of = {i: len(b) for b, i in self.id_of.items()}
         #: What is known of ``may_follow``.
         self.pairs: dict[int, bool] = {}
-        #: The longest token that ends in each triple of bytes: bounds the search at a position.
-        self.longest: dict[bytes, int] = {}
-        for b in self.id_of:
-            if len(b) > 2:
-                self.longest[b[-3:]] = max(self.longest.get(b[-3:], 2), len(b))
+        #: All tokens that end at each position of a text, longest first; bytes stand as Latin-1 characters.
+        self.ends = ahocorasick.Automaton()
+        for b, i in self.id_of.items():
+            self.ends.add_word(b.decode("latin-1"), (i, len(b)))
+        self.ends.make_automaton()
+        self.longest = max(map(len, self.id_of))
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` apart when their bytes stand side by side.
@@ -95,26 +98,22 @@ class Vocabulary:
 
 def extend_last_tokens(v: Vocabulary, data: bytes, last: list[int]) -> None:
     """Continue ``last``, the last token of each prefix of ``data`` (-1 for the empty one), to the whole of ``data``."""
-    find, longest, pairs, may_follow = v.id_of.get, v.longest.get, v.pairs, v.may_follow
-    for end in range(len(last), len(data) + 1):
-        start = end - longest(data[end - 3 : end], 2) if end > 2 else 0
-        if start < 0:
-            start = 0
-        while True:
-            token = find(data[start:end])
-            if token is not None:
-                if not start:
-                    break
+    pairs, may_follow, done = v.pairs, v.may_follow, len(last) - 1
+    last += [-1] * (len(data) - done)
+    for end, (token, size) in v.ends.iter(data.decode("latin-1"), max(0, done - v.longest)):
+        end += 1
+        if last[end] < 0:
+            start = end - size
+            if start:
                 pair = (last[start] << 20) + token
                 fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) > 1_000_000:
                         pairs.clear()
                     fits = pairs[pair] = may_follow(last[start], token)
-                if fits:
-                    break
-            start += 1
-        last.append(token)
+                if not fits:
+                    continue
+            last[end] = token
 
 
 class PrefixEncoder:
@@ -151,6 +150,17 @@ class PrefixEncoder:
         return out[::-1]
 
 
+class _Known(dict):
+    """What is known of stretches; ``find`` is asked for the others, and may remember what it finds."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str):
+        return self.find(piece)
+
+
 class Encoder:
     """Encodes texts; distinct stretches between white space are encoded once and remembered.
 
@@ -160,11 +170,12 @@ class Encoder:
 
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         self.vocabulary = Vocabulary(path)
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.split = self.pattern.findall
         self.chunk = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         # White space to the standard library, but not to the pattern.
         self.separators = re.compile("[\x1c-\x1f]").search
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = _Known(self._unknown)
         self.old: dict[str, bytes] = {}
         self.cache_size = cache_size
 
@@ -197,21 +208,24 @@ class Encoder:
             self._remember(chunk, ids)
         return ids
 
+    def _unknown(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            return self._encode_chunk(piece)
+        self._remember(piece, ids)
+        return ids
+
     def _remember(self, piece: str, ids: bytes) -> None:
         if len(piece) <= 100:
             if len(self.cache) >= self.cache_size:
-                self.old, self.cache = self.cache, {}
+                self.old, self.cache = self.cache, _Known(self._unknown)
             self.cache[piece] = ids
 
     def packed(self, text: str | None) -> bytes:
         """The ids as native 32-bit integers, four bytes each; nothing for an empty or null text."""
         if not text:
             return b""
-        chunks = self.split(text) if self.separators(text) else self.chunk(text)
-        found = list(map(self.cache.get, chunks))
-        if None in found:
-            found = [self.ids_of(c) if ids is None else ids for c, ids in zip(chunks, found)]
-        return b"".join(found)
+        return b"".join(map(self.cache.__getitem__, self.split(text) if self.separators(text) else self.chunk(text)))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; an empty list for an empty or null text."""
@@ -222,18 +236,57 @@ class Encoder:
 
     def ids_of(self, piece: str) -> bytes:
         """The packed ids of one pre-token or one stretch between white space."""
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                return self._encode_chunk(piece)
-            self._remember(piece, ids)
-        return ids
+        return self.cache[piece]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(self.vocabulary.bytes_of[i] for i in ids)
 
 
+class TextEncoder:
+    """The ids of a whole text, with exact appends and edits that redo only the pre-tokens around the change.
+
+    The pattern looks one character ahead and never back, so what it makes of a text from one of
+    its borders on depends on the rest alone. Work starts at the last border that the change
+    cannot have moved, and ends at the first border behind it that stands where one stood before.
+    """
+
+    def __init__(self, encode: Encoder, text: str = ""):
+        self.encode, self.text = encode, ""
+        #: Where each pre-token begins, and its packed ids.
+        self.starts: list[int] = []
+        self.parts: list[bytes] = []
+        self.append(text)
+
+    def append(self, more: str) -> None:
+        self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, end: int, new: str) -> int:
+        """Replace characters ``start:end`` by ``new``; returns how many pre-tokens were encoded again."""
+        # A pre-token that ends right before the change has looked at its first character.
+        first = max(0, bisect.bisect_left(self.starts, start) - 2)
+        at = self.starts[first] if first < len(self.starts) else 0
+        self.text = self.text[:start] + new + self.text[end:]
+        shift = len(new) - (end - start)
+        after = bisect.bisect_left(self.starts, end)
+        starts, parts = [], []
+        for m in self.encode.pattern.finditer(self.text, at):
+            if m.start() >= start + len(new):
+                while after < len(self.starts) and self.starts[after] + shift < m.start():
+                    after += 1
+                if after < len(self.starts) and self.starts[after] + shift == m.start():
+                    break
+            starts.append(m.start())
+            parts.append(self.encode.ids_of(m.group()))
+        else:
+            after = len(self.starts)
+        self.starts[first:] = starts + [x + shift for x in self.starts[after:]]
+        self.parts[first:] = parts + self.parts[after:]
+        return len(parts)
+
+    def ids(self) -> list[int]:
+        return array("i", b"".join(self.parts)).tolist()
+
+
 @lru_cache(maxsize=2)
 def encoder(directory: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json") -> Encoder:
     """One encoder per worker process."""

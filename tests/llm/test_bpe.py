@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scholia.llm.bpe import TOKENIZER_DIR, Encoder, PrefixEncoder, encoder
+from scholia.llm.bpe import TOKENIZER_DIR, Encoder, PrefixEncoder, TextEncoder, encoder
 from scholia.llm.encode import count_tokens, encode_corpus
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZER_DIR), reason="no vocabulary files here")
@@ -47,6 +47,22 @@ def test_appends_and_edits_are_exact(text, a, b, new):
     assert grown.ids() == PrefixEncoder(v, data[:a] + new.encode() + data[b:]).ids()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab1 \n'té", max_size=30), st.integers(0, 30), st.integers(0, 30), st.text("ab1 \n's", max_size=5), st.text("a \n't", max_size=4))
+def test_whole_texts_are_edited_exactly(text, a, b, new, more):
+    a, b = sorted((min(a, len(text)), min(b, len(text))))
+    changed = TextEncoder(encoder(), text)
+    changed.edit(a, b, new)
+    assert changed.text == text[:a] + new + text[b:] and changed.ids() == encoder().encode(changed.text)
+    changed.append(more)
+    assert changed.ids() == encoder().encode(text[:a] + new + text[b:] + more)
+
+
+def test_an_edit_redoes_little():
+    changed = TextEncoder(encoder(), "the cat sat on the mat. " * 2_000)
+    assert changed.edit(24_000, 24_003, "dog") < 10 and changed.ids() == encoder().encode(changed.text)
+
+
 def test_a_small_cache_changes_nothing(public):
     small = Encoder(os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json"), cache_size=3)
     for text in [*TEXTS, *TEXTS, "a b c d e f g h a b c d"]:
