@@ -177,6 +177,8 @@ class Encoder:
         self.separators = re.compile("[\x1c-\x1f]").search
         self.cache: dict[str, bytes] = _Known(self._unknown)
         self.old: dict[str, bytes] = {}
+        #: Tokens of short stretches; zero for the others, which are counted piece by piece.
+        self.sizes: dict[str, int] = _Known(self._size)
         self.cache_size = cache_size
 
     def _encode_word(self, word: str) -> bytes:
@@ -215,6 +217,14 @@ class Encoder:
         self._remember(piece, ids)
         return ids
 
+    def _size(self, piece: str) -> int:
+        if len(piece) > 60:
+            return 0
+        if len(self.sizes) >= self.cache_size:
+            self.sizes.clear()
+        n = self.sizes[piece] = len(self.cache[piece]) >> 2
+        return n
+
     def _remember(self, piece: str, ids: bytes) -> None:
         if len(piece) <= 100:
             if len(self.cache) >= self.cache_size:

@@ -45,7 +45,7 @@ class Units:
     def __init__(self, text: str, encode: Encoder):
         self.text, self.encode = text, encode
         chunks = encode.split(text) if encode.separators(text) else encode.chunk(text)
-        ends, sizes = list(map(len, chunks)), [len(ids or (encode.ids_of(c) if len(c) <= 60 else b"")) >> 2 for c, ids in zip(chunks, map(encode.cache.get, chunks))]
+        ends, sizes = list(map(len, chunks)), list(map(encode.sizes.__getitem__, chunks))
         words = None
         if text.isascii():
             large = [i for i, n in enumerate(ends) if n > _UNIT and (n > 60 or sizes[i] > _UNIT)]
@@ -169,13 +169,18 @@ def atoms(units: Units, strength: np.ndarray, most: int) -> Segments:
 def _take(units: Units, strength: np.ndarray, first: int, last: int, level: int, most: int, out: Segments) -> None:
     """Add units ``first`` to ``last - 1`` as one segment, or as several cut at boundaries of ``level`` and below."""
     n = units.tokens[last] - units.tokens[first]
-    if n <= most or level < NONE:
+    if n <= most:
         out.append((last, n, int(strength[last - 1])))
         return
     if level == CLAUSE:
         units.mark_clauses(strength, first, last)
-    for end in (np.flatnonzero(strength[first : last - 1] >= level) + first + 1).tolist() + [last]:
-        _take(units, strength, first, end, {CLAUSE: WORD, WORD: NONE, NONE: NONE - 1}[level], most, out)
+    ends = np.append(np.flatnonzero(strength[first : last - 1] >= level) + first + 1, last)
+    sizes = np.diff(units.tokens_at[ends], prepend=units.tokens[first])
+    if level == NONE or sizes.max() <= most:
+        out.extend(zip(ends.tolist(), sizes.tolist(), strength[ends - 1].tolist()))
+        return
+    for end in ends.tolist():
+        _take(units, strength, first, end, {CLAUSE: WORD, WORD: NONE}[level], most, out)
         first = end
 
 
@@ -271,6 +276,7 @@ def split_texts(df: DataFrame, limits: list[tuple[int, int, int]], id_col: str =
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(directory)
         # Nothing here refers to itself; looking for such garbage takes a tenth of the time.
+        collects = gc.isenabled()
         gc.disable()
         try:
             for batch in batches:
@@ -288,7 +294,8 @@ def split_texts(df: DataFrame, limits: list[tuple[int, int, int]], id_col: str =
                     arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
                     yield pa.RecordBatch.from_arrays([arrays[0], ids, *arrays[1:]], ["limit_id", "id", "piece", "start", "own_start", "end", "n_tokens", "text"])
         finally:
-            gc.enable()
+            if collects:
+                gc.enable()
 
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"limit_id int, id {id_type}, piece int, start bigint, own_start bigint, end bigint, n_tokens int, text string"
