@@ -44,7 +44,7 @@ def scan_table(
     return markers_of(comments, types, labels).select(*keep, *OUTPUT)
 
 
-def _decoded(files: DataFrame, charset: str, lang: str | None) -> DataFrame:
+def _decoded(files: DataFrame, charset: str, lang: str | None, extra: dict[str, str] | None) -> DataFrame:
     """Text and language of each file, or the reason why there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def _decoded(files: DataFrame, charset: str, lang: str | None) -> DataFrame:
                     except CharsetError as e:
                         error = str(e)
                 if text is not None:
-                    language = by_alias(lang) if lang else language_of(path, text)
+                    language = by_alias(lang) if lang else language_of(path, text, extra)
                     if rules_of(language) is None:
                         text, error = None, f"unsupported language: {language or 'unknown'}"
                 out.append((path, explicit, text, language, error))
@@ -82,6 +82,7 @@ def scan_tree(
     include_generated: bool = False,
     error_on_unsupported: bool = True,
     blame: DataFrame | None = None,
+    extra: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(tasks, errors) of a file tree.
 
@@ -108,12 +109,12 @@ def scan_tree(
         .option("ignorefiles", json.dumps(list(options.ignore_files)))
         .load()
     )
-    return scan_files(files, types, labels, charset, lang, include_generated, error_on_unsupported, blame)
+    return scan_files(files, types, labels, charset, lang, include_generated, error_on_unsupported, blame, extra)
 
 
-def scan_files(files: DataFrame, types=DEFAULT_TYPES, labels=(), charset=DEFAULT_CHARSET, lang=None, include_generated=False, error_on_unsupported=True, blame=None) -> tuple[DataFrame, DataFrame]:
+def scan_files(files: DataFrame, types=DEFAULT_TYPES, labels=(), charset=DEFAULT_CHARSET, lang=None, include_generated=False, error_on_unsupported=True, blame=None, extra=None) -> tuple[DataFrame, DataFrame]:
     """(tasks, errors) of files as bytes: path, explicit, content, error; ``scan_tree`` without the listing."""
-    text = _decoded(files, charset, lang)
+    text = _decoded(files, charset, lang, extra)
     told = F.col("error").isNotNull() & (F.col("explicit") & F.lit(error_on_unsupported) | ~F.col("error").rlike("^(?:binary|unsupported language)"))
     errors = text.where(told).select("path", F.col("error").alias("message"))
     readable = text.where("error is null")

@@ -14,6 +14,7 @@ from scholia import __version__
 from scholia.api import scan_files, scan_tree
 from scholia.functions.charsets import DEFAULT_CHARSET, CharsetError
 from scholia.functions.globs import glob_to_regex
+from scholia.functions.langs import languages_in
 from scholia.functions.reports import REPORTS
 from scholia.operators.blame import beyond_authors, with_authors
 from scholia.operators.markers import DEFAULT_TYPES
@@ -37,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--include-vcs", action="store_true")
     p.add_argument("--include-generated", action="store_true")
     p.add_argument("--include-vendored", action="store_true")
+    p.add_argument("--languages", default=None, help="a list of languages with further file names and extensions")
     p.add_argument("-l", "--label", action="append", default=[])
     p.add_argument("-g", "--language", default=None)
     p.add_argument("--no-error-on-unsupported", action="store_true")
@@ -73,12 +75,16 @@ def _scan(a: argparse.Namespace, spark: SparkSession, out, err) -> int:
     types = DEFAULT_TYPES if a.todo_types is None else [t.strip() for t in a.todo_types.split(",")]
     walk = WalkOptions(a.exclude, a.exclude_dir, a.exclude_hidden, a.include_vcs, a.include_vendored, a.follow, a.ignore_file_name or IGNORE_FILES)
     try:
+        extra = None
+        if a.languages:
+            with open(a.languages, encoding="utf-8") as f:
+                extra = languages_in(f.read())
         scans = []
         if "-" in a.paths:
-            scans.append(scan_files(_stdin(spark), types, a.label, a.charset, a.language, True, not a.no_error_on_unsupported))
+            scans.append(scan_files(_stdin(spark), types, a.label, a.charset, a.language, True, not a.no_error_on_unsupported, extra=extra))
         if named := [p for p in a.paths if p != "-"]:
-            scans.append(scan_tree(spark, named, walk, types, a.label, a.charset, a.language, a.include_generated, not a.no_error_on_unsupported))
-    except (CharsetError, ValueError) as e:
+            scans.append(scan_tree(spark, named, walk, types, a.label, a.charset, a.language, a.include_generated, not a.no_error_on_unsupported, extra=extra))
+    except (CharsetError, ValueError, OSError) as e:
         print(f"scholia: {e}", file=err)
         return FLAG_ERROR
     tasks, errors = (reduce(DataFrame.unionByName, side) for side in zip(*scans))

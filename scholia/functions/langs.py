@@ -301,15 +301,21 @@ def _by_content(extension: str, head: str) -> str | None:
 def language_of(path: str | None, head: str | None = "", extra: dict[str, str] | None = None) -> str | None:
     """The language of a file from its name, then its first line, then its extension; None if unknown.
 
-    ``extra`` maps further extensions (without the dot) to languages and wins over the built-in ones.
+    ``extra`` maps further file names, and extensions without their first dot, to languages and wins
+    over the built-in ones; of several extensions the longest counts. See ``languages_in``.
     """
     base = (path or "").rsplit("/", 1)[-1]
+    if extra:
+        if base in extra:
+            return extra[base]
+        parts = base.lower().split(".")
+        for i in range(1, len(parts)):
+            if ".".join(parts[i:]) in extra:
+                return extra[".".join(parts[i:])]
     if base in NAMES:
         return NAMES[base]
     head = head or ""
     extension = base.rsplit(".", 1)[-1].lower() if "." in base else ""
-    if extra and extension in extra:
-        return extra[extension]
     if extension not in EXTENSIONS:
         name = _interpreter(head)
         if name in _INTERPRETERS:
@@ -317,6 +323,34 @@ def language_of(path: str | None, head: str | None = "", extra: dict[str, str] |
     return _by_content(extension, head) or EXTENSIONS.get(extension)
 
 
+_ENTRY = re.compile(r"""(?P<name>\S.*?):\s*|\s+(?P<key>\w+):\s*|\s+-\s*(?P<quote>["']?)(?P<value>.*?)(?P=quote)\s*""")
+
+
+def languages_in(text: str) -> dict[str, str]:
+    """File names and extensions of languages with rules, from a language list, for the parameter ``extra``.
+
+    The list is in the common YAML form: a language's name at the start of a line, below it lists
+    ``extensions`` and ``filenames``. The table built in covers names of common use; a full list has
+    hundreds more and is a parameter. An extension that is built in, or that several languages
+    list, keeps what is built in or goes to the first.
+    """
+    out: dict[str, str] = {}
+    language, key = None, ""
+    for line in text.splitlines():
+        m = _ENTRY.fullmatch(line)
+        if not m or line.lstrip().startswith("#"):
+            continue
+        if m.group("name"):
+            language, key = by_alias(m.group("name").strip("\"'")), ""
+        elif m.group("key"):
+            key = m.group("key")
+        elif language and rules_of(language) and key in ("extensions", "filenames"):
+            value = m.group("value").removeprefix(".").lower() if key == "extensions" else m.group("value")
+            if value not in (EXTENSIONS if key == "extensions" else NAMES):
+                out.setdefault(value, language)
+    return out
+
+
 def _interpreter(head: str) -> str:
     """The interpreter's base name in a shebang line, without its version; empty if there is none."""
     line = head.split("\n", 1)[0]

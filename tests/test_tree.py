@@ -9,6 +9,7 @@ from scholia import cli
 from scholia.api import scan_tree
 from scholia.functions.charsets import CharsetError, decode, resolve
 from scholia.functions.globs import glob_to_regex
+from scholia.functions.langs import languages_in
 from scholia.functions.reports import plain_line
 from scholia.operators.blame import beyond_authors
 from scholia.sources import codefiles
@@ -124,6 +125,19 @@ def test_command_line(spark, tree, monkeypatch):
     assert code == 4 and "division by zero" in err
 
 
+def test_further_languages(spark, tree):
+    listed = tree / "languages.yml"
+    listed.write_text("---\n# a list\nPython:\n  type: programming\n  extensions:\n  - \".py\"\n  - \".bzl.in\"\n  filenames:\n  - 'BUILD.x'\nNo Such:\n  extensions:\n  - \".go\"\n  - .zzz\n")
+    assert languages_in(listed.read_text()) == {"bzl.in": "Python", "BUILD.x": "Python"}
+    for name in ("a.BZL.in", "BUILD.x", "b.in"):
+        (tree / name).write_text(f"# TODO: {name}\n")
+    out = io.StringIO()
+    paths = [str(tree / n) for n in ("a.BZL.in", "BUILD.x", "b.in")]
+    assert cli.main(["--languages", str(listed), "-o", "default", "--no-error-on-unsupported", *paths], spark, out, io.StringIO()) == 1
+    assert [x.rsplit(": ", 1)[1] for x in out.getvalue().splitlines()] == ["BUILD.x", "a.BZL.in"]
+    assert cli.main(["--languages", str(tree / "none"), *paths], spark, out, io.StringIO()) == 2
+
+
 def test_standard_input(spark, tree, monkeypatch):
     monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"# TODO: from a pipe\n")))
     out = io.StringIO()
