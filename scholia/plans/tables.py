@@ -32,16 +32,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(df: DataFrame, key: Column, n: int) -> list[Row]:
-    """At most ``n`` rows, those with the smallest hashes of ``key``; all rows of a table of no more.
+def bounded_sample(df: DataFrame, key: Column, n: int, where: Column | None = None, spare: int = 8) -> list[Row]:
+    """At most ``n`` rows for which ``where`` holds, those with the smallest hashes of ``key``; all of them in a table of no more.
 
     The rows are thinned out by their hash before any are sent, so what reaches the driver is
-    bounded by ``n``, not by the number of partitions.
+    bounded by ``n``, not by the number of partitions. With ``where``, ``spare`` times as many rows are
+    looked at in one pass, which gives fewer than ``n`` where fewer than one in ``spare`` fits;
+    counting a whole table of files before costs no pass.
     """
-    total = df.count()
+    total, wanted = df.count(), n * (1 if where is None else spare)
     order = F.xxhash64(key)
-    if total > n:
+    if total > wanted:
         width = 1 << 40
-        df = df.where(F.pmod(order, F.lit(width)) < int(width * min(1.0, (1.2 * n + 100) / total)))
+        df = df.where(F.pmod(order, F.lit(width)) < int(width * min(1.0, (1.2 * wanted + 100) / total)))
         order = F.pmod(order, F.lit(width))
-    return df.orderBy(order).limit(n).collect()
+    return (df if where is None else df.where(where)).orderBy(order).limit(n).collect()
