@@ -26,8 +26,12 @@ from scholia.plans.tables import bounded_sample
 BUCKETS = 1 << 14
 #: Log odds that all words of a text together must reach.
 THRESHOLD = 7.0
-#: Bound of the training sample in distinct texts, and texts garbled for each chain.
-SAMPLE_TEXTS, PER_CHAIN = 8_000, 400
+#: How much a word may speak against a chain, as a log, and still be undone with words that speak for it.
+SLACK = 4.0
+#: What each place in a word where two alphabets meet costs, as a log.
+MIXTURE = 6.0
+#: Bounds of the training sample, texts and characters of each, and texts garbled for each chain.
+SAMPLE_TEXTS, SAMPLE_CHARS, PER_CHAIN = 8_000, 2_000, 400
 
 #: Single-byte encodings are total here: bytes an encoding leaves undefined stand for themselves.
 _SINGLE = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "iso8859-2", "iso8859-9", "koi8-r", "cp866", "cp437", "cp850", "mac-roman")
@@ -46,6 +50,7 @@ _OTHER_STEPS = (
     ("euc-jp", "gb18030"),
     ("euc-kr", "gb18030"),
 )
+_CYRILLIC = {"cp1251", "koi8-r", "cp866"}
 Chain = tuple[tuple[str, str], ...]
 LOSSY = "lossy"
 
@@ -129,6 +134,14 @@ def _buckets(word: str) -> np.ndarray:
     return ((pairs * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
 
 
+_MIXTURE = re.compile(r"[A-Za-zÀ-ɏ][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-zÀ-ɏ]|[Ͱ-Ͽ][Ѐ-ӿ]|[Ѐ-ӿ][Ͱ-Ͽ]|[ｦ-ﾟ][A-Za-zÀ-ӿ]|[A-Za-zÀ-ӿ][ｦ-ﾟ]|[^\W\d_][─-▟]|[─-▟][^\W\d_]")
+
+
+def _mixtures(word: str) -> int:
+    """Places where letters of two alphabets, or a letter and a box drawing, stand side by side."""
+    return len(_MIXTURE.findall(word))
+
+
 _QUOTED = re.compile(r"(?<![^\s(])([\"'`])([^\s\w]{0,2}[^\s]{1,12})\1(?![^\s.,;:!?)])")
 
 
@@ -156,18 +169,21 @@ class Model:
         self.__post_init__()
 
     def word(self, word: str) -> tuple[np.ndarray, dict[int, tuple[str, float]]]:
-        """For each chain what the word says for it, zero if not in favour or not strictly decodable; and the restored forms with how much more probable they are."""
+        """For each chain what the word says for it, zero if not in favour or not strictly decodable; and the restored forms with how much more, or a little less, probable they are."""
         found = self._words.get(word)
         if found is None:
             here = _buckets(word)
             odds = self.odds[:, here].sum(axis=1)
             as_it_is = self.clean[here]
             restored = {}
-            for c in np.flatnonzero(odds > 0):
+            mixed = _mixtures(word)
+            for c in np.flatnonzero(odds > -SLACK):
                 back = restore(word, self.chains[c])
-                gain = -1.0 if back is None or back == word else self._gain(as_it_is, self.clean[_buckets(back)], self.chains[c])
+                gain = -SLACK
+                if back is not None and back != word:
+                    gain = self._gain(as_it_is, self.clean[_buckets(back)], self.chains[c]) - MIXTURE * max(0, _mixtures(back) - mixed)
                 odds[c] = min(odds[c], gain)
-                if gain > 0:
+                if gain > -SLACK:
                     restored[int(c)] = back, gain
             found = np.maximum(odds, 0), restored
             if len(self._words) > 100_000:
@@ -175,6 +191,24 @@ class Model:
             self._words[word] = found
         return found
 
+    def _only_case(self, words: Sequence[str], c: int) -> bool:
+        """Whether a chain between Cyrillic encodings gains by letter case alone: one has capitals where others have small letters, and texts in capitals are few."""
+        if not {e for step in self.chains[c] for e in step} <= _CYRILLIC:
+            return False
+        return sum(self._lower(self.word(w)[1][c][0]) - self._lower(w) for w in words if c in self.word(w)[1]) <= 0
+
+    def _lower(self, word: str) -> float:
+        return float(self.clean[_buckets(word.lower())].sum())
+
+    def _regained(self, words: Sequence[str], c: int) -> float:
+        """How much more probable the words are with chain ``c`` undone, the worse of as they stand and in small letters."""
+        undone = [(w, *self.word(w)[1][c]) for w in words if c in self.word(w)[1]]
+        return min(sum(gain for _, _, gain in undone), sum(gain + self._lower(back) - float(self.clean[_buckets(back)].sum()) for _, back, gain in undone))
+
+    def _one_character(self, quoted: str) -> bool:
+        """Whether a quoted run is one character, as it stands or with some chain undone."""
+        return not quoted.isascii() and (len(quoted) == 1 or any(len(restore(quoted, c) or "") == 1 for c in self.chains))
+
     @staticmethod
     def _gain(before: np.ndarray, after: np.ndarray, chain: Chain) -> float:
         """How much more probable the restored word is.
@@ -189,30 +223,43 @@ class Model:
             gain = min(gain, (after.mean() - before.mean()) * len(after))
         return float(gain)
 
-    def detect(self, text: str | None, again: int = 3) -> tuple[str, str | None] | None:
+    def detect(self, text: str | None, again: int = 3, lenient: bool = False) -> tuple[str, str | None] | None:
         """(chain, restored text) of a garbled text, None for a clean one.
 
-        The restored text is null where characters are lost. A garbled character that stands alone
-        in quotation marks is an example, not a case.
+        Where characters are lost the chain is ``lossy`` and the restored text keeps the words that
+        hold a replacement character; it is null if no other word can be restored. A garbled
+        character that stands alone in quotation marks is an example, not a case. ``lenient``
+        reports texts in Cyrillic capitals too, which is right only for leaving texts out.
         """
         if not text or text.isascii():
             return None
-        looked = _QUOTED.sub(lambda m: m.group() if m.group(2).isascii() else m.group(1) * 2, text)
+        looked = _QUOTED.sub(lambda m: m.group(1) * 2 if self._one_character(m.group(2)) else m.group(), text)
         words = _odd_words(looked)
         if not words:
             return None
-        if "�" in looked:
-            return LOSSY, None
+        lossy = "�" in looked
+        if lossy:
+            words = [w for w in words if "�" not in w]
         total = sum((self.word(w)[0] for w in words), np.zeros(len(self.chains)))
-        best = int(total.argmax())
+        while total[best := int(total.argmax())] >= THRESHOLD and not lenient and self._only_case(words, best):
+            total[best] = 0
         if total[best] < THRESHOLD:
-            return None
+            return (LOSSY, None) if lossy else None
         # Chains that explain the words about as well are told apart by what they restore.
         rivals = np.flatnonzero(total >= 0.6 * total[best]).tolist()
         if len(rivals) > 1:
-            best = max(rivals, key=lambda c: (sum(self.word(w)[1].get(c, ("", 0.0))[1] for w in words), total[c]))
+            best = max(rivals, key=lambda c: (self._regained(words, c), total[c]))
         chain = self.chains[best]
-        back = " ".join(self.word(w)[1].get(best, (w,))[0] if not w.isascii() else w for w in text.split(" "))
+
+        def undo(word: str) -> str:
+            odds, restored = self.word(word)
+            back, gain = restored.get(best, (word, 0.0))
+            # A word that alone would rather stay is undone with the others if they leave no doubt.
+            return back if gain > 0 or total[best] - odds[best] >= THRESHOLD else word
+
+        back = " ".join(w if w.isascii() or "�" in w else undo(w) for w in text.split(" "))
+        if lossy:
+            return LOSSY, back if back != text else None
         # What was garbled more than once may come out garbled once less.
         inner = self.detect(back, again - 1) if back != text and again else None
         if inner and inner[1] is not None and inner[0].startswith("utf-8") and chain[0][0] == "utf-8":
@@ -230,7 +277,7 @@ def fit(texts: Sequence[str], per_chain: int = PER_CHAIN, rounds: int = 2) -> Mo
     model = None
     for _ in range(max(1, rounds)):
         if model is not None:
-            clean = [t for t in clean if model.detect(t) is None]
+            clean = [t for t in clean if model.detect(t, lenient=True) is None]
         counts = np.zeros((len(every) + 1, BUCKETS))
         for text in clean:
             for word in _odd_words(text):
@@ -260,16 +307,16 @@ def fit(texts: Sequence[str], per_chain: int = PER_CHAIN, rounds: int = 2) -> Mo
 
 
 def train(df: DataFrame, id_col: str, fields: Iterable[str]) -> Model:
-    """Fit on at most ``SAMPLE_TEXTS`` texts with other than ASCII characters, chosen by the hash of their ids."""
+    """Fit on at most ``SAMPLE_TEXTS`` texts with other than ASCII characters (``SAMPLE_CHARS`` of each), chosen by the hash of their ids in one pass."""
     first = next(iter(fields))
-    odd = df.where(F.col(first).rlike(r"[^\x00-\x7f]")).select(F.col(first).alias("t"), F.col(id_col).alias("key"))
-    return fit([r.t for r in bounded_sample(odd, F.col("key"), SAMPLE_TEXTS)])
+    texts = df.select(F.substring(F.col(first), 1, SAMPLE_CHARS).alias("t"), F.col(id_col).alias("key"))
+    return fit([r.t for r in bounded_sample(texts, F.col("key"), SAMPLE_TEXTS, F.col("t").rlike(r"[^\x00-\x7f]"))])
 
 
 def find_garbled(df: DataFrame, model: Model, id_col: str, fields: Sequence[str]) -> DataFrame:
     """(id, field, chain, restored) of each garbled field.
 
-    ``chain`` names the wrong decodings or is ``lossy`` (then ``restored`` is null). Null, empty and
+    ``chain`` names the wrong decodings or is ``lossy`` (then ``restored`` is what can be restored, or null). Null, empty and
     ASCII fields are never garbled; repeated rows are reported each; an empty table gives an empty
     result; other columns are never read. No shuffle; the broadcast model has a fixed size.
     """

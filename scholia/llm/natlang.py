@@ -242,10 +242,10 @@ def code_only(text: str, rules) -> str:
 
 def train(documents: DataFrame, files: DataFrame, classes: list[str], directory: str = TOKENIZER_DIR) -> Model:
     """Fit on at most ``SAMPLE_TEXTS`` labelled texts and ``SAMPLE_FILES`` source files, chosen by the hash of their ids."""
-    labelled = documents.where(F.col("lang").isin(*classes) & F.col("text").isNotNull() & ~F.coalesce(F.col("source"), F.lit("")).isin("ci_log", "source"))
-    texts = bounded_sample(labelled.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id"), F.col("doc_id"), SAMPLE_TEXTS)
-    filled = files.where("length(content) > 0").select("path", F.substring("content", 1, 2 * SAMPLE_CHARS).alias("content"), "file_id")
-    sources = bounded_sample(filled, F.col("file_id"), SAMPLE_FILES)
+    labelled = F.col("lang").isin(*classes) & F.col("text").isNotNull() & ~F.coalesce(F.col("source"), F.lit("")).isin("ci_log", "source")
+    texts = bounded_sample(documents.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "source", "doc_id"), F.col("doc_id"), SAMPLE_TEXTS, labelled)
+    filled = files.select("path", F.substring("content", 1, 2 * SAMPLE_CHARS).alias("content"), "file_id")
+    sources = bounded_sample(filled, F.col("file_id"), SAMPLE_FILES, F.length("content") > 0)
     code = (code_only(r.content, rules) for r in sources if (rules := rules_of(language_of(r.path, r.content))))
     return fit(((r.lang, r.text) for r in texts), code, classes, directory)
 

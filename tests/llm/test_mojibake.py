@@ -35,10 +35,28 @@ def test_other_chains(model):
         assert model.detect(garble(text, chain))[1] == text
 
 
+@pytest.mark.parametrize("text", [CLEAN[6].upper(), CLEAN[7].upper(), "ПЕРЕНЕСТИ ЭТОТ КОД В МОДУЛЬ"])
+def test_capitals_are_not_garbled(model, text):
+    assert model.detect(text) is None
+
+
+def test_words_without_a_say_follow_the_others(model):
+    chain = (("cp1250", "latin-1"),)
+    bad = garble("przenieść tę część do osobnego, mniejszego modułu, więc będzie osobny Łódź", chain)
+    assert model.detect(bad)[1] == "przenieść tę część do osobnego, mniejszego modułu, więc będzie osobny Łódź"
+
+
+def test_alphabets_do_not_mix(model):
+    bad = garble("questo è lento perché il filtro è già stato chiuso", (("gb18030", "latin-1"),))
+    assert model.detect(bad)[1] == "questo è lento perché il filtro è già stato chiuso"
+
+
 def test_parts_quotes_and_losses(model):
     assert model.detect("la función devuelve el nÃºmero de página aquí")[1] == "la función devuelve el número de página aquí"
     assert model.detect('x must not print "Ã©" where the source has é') is None
     assert model.detect("der Zeilenz�hler") == (LOSSY, None)
+    assert model.detect("la funciÃ³n devuelve el nÃºmero de pÃ¡gina aquÃ­, ma�ana") == (LOSSY, "la función devuelve el número de página aquí, ma�ana")
+    assert model.detect('the word "pÃ¡gina" from "funciÃ³n" and "nÃºmero" is wrong')[1] == 'the word "página" from "función" and "número" is wrong'
     assert model.detect(None) is None and model.detect("") is None and model.detect("plain") is None
     assert model.detect(garble("é" * 20_000 + " café", (("utf-8", "cp1252"),))) is not None
 
