@@ -1,10 +1,12 @@
 """Records that differ only in layout, collapsed through dictionary-encoded columns.
 
-Every distinct message is canonicalised once: name-value fields are taken out, letter case is
-folded and everything but letters and digits is dropped. The canonical rest, each field and the
-type become integer identifiers; a record becomes the sorted tuple of these integers, and only
-such tuples are grouped. Identifiers are 128-bit (rest) and 56-bit (field values) hashes, so
-the dictionary needs no coordination between executors.
+Messages are canonicalised: name-value fields are taken out, letter case is folded and everything
+but letters and digits is dropped. The canonical rest, each field and the type become integer
+identifiers; a record becomes the sorted tuple of these integers, and only such tuples are
+grouped. Identifiers are hashes (128 bits of the rest, 64 of a field or type), so the dictionary needs no
+coordination between executors. Where messages repeat, each distinct one is canonicalised once and
+joined back by its identifier; where nearly all differ, a dictionary would hold nearly as many
+rows as the table, so they are canonicalised where they are read and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from scholia.plans.tables import materialize
 #: Names of the fields a message may hold; part of the problem's statement.
 FIELD_NAMES = ("area", "owner", "prio", "due", "size")
 
+#: Share of distinct messages from which on a dictionary of them is not worth its shuffles.
+DISTINCT_SHARE = 0.5
+
 _ITEM = r"(?i)(?<![\p{L}\p{N}_])(?:%s)[\s\p{Z}]*[=:][\s\p{Z}]*[\p{L}\p{N}]+(?:[-_./+][\p{L}\p{N}]+)*"
 _DROP = r"(?<!\p{Nd})[^\p{L}\p{N}]|[^\p{L}\p{N}](?!\p{Nd})|[\s\p{Z}\p{C}]"
 
@@ -31,41 +36,52 @@ def _letters_and_digits(column: Column) -> Column:
     return F.regexp_replace(_fold(column), _DROP, "")
 
 
-def message_tuple(message: Column, names: tuple[str, ...] = FIELD_NAMES) -> Column:
-    """Sorted integers of a message: one per field, then the two halves of the rest's identifier.
+def with_tuples(df: DataFrame, message: str, names: tuple[str, ...] = FIELD_NAMES) -> DataFrame:
+    """``df`` with its column ``message`` replaced by ``tuple``: one integer per field, sorted, then the two halves of the rest's identifier.
 
-    Null for a message in which nothing counts (null, empty or punctuation only).
+    Rows with a message in which nothing counts (punctuation only) are left out.
     """
     pattern = _ITEM % "|".join(names)
-    items = F.regexp_extract_all(message, F.lit(pattern), F.lit(0))
-    name_at = {n: i + 1 for i, n in enumerate(names)}
+    kept = [c for c in df.columns if c != message]
+    m, has = F.col(message), F.col("has")
+    # Scanning twice for items is only worth it for the messages that have any.
+    df = df.withColumn("has", F.lower(m).rlike("(?:%s)[\\s\\p{Z}]*[=:]" % "|".join(names)))
+    items = F.when(has, F.regexp_extract_all(m, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rest = _letters_and_digits(F.when(has, F.regexp_replace(m, pattern, " ")).otherwise(m))
+    # A generator between, so that the condition below is not pushed under these expressions and evaluates them again.
+    df = df.select(*kept, F.inline(F.array(F.struct(items.alias("items"), rest.alias("rest")))))
+    df = df.where((F.length("rest") > 0) | (F.size("items") > 0))
 
     def code(item: Column) -> Column:
         name = _fold(F.regexp_extract(item, r"^\w+", 0))
         number = F.lit(0)
-        for n, i in name_at.items():
+        for i, n in enumerate(names, 1):
             number = F.when(name == n.upper(), i).otherwise(number)
-        value = _letters_and_digits(F.regexp_replace(item, r"^\w+[\s\p{Z}]*[=:]", ""))
-        return F.shiftleft(number.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(value), 8))
+        return F.xxhash64(number, _letters_and_digits(F.regexp_replace(item, r"^\w+[\s\p{Z}]*[=:]", "")))
 
-    # Scanning twice for items is only worth it for the messages that have any.
-    has_items = F.lower(message).rlike("(?:%s)[\\s\\p{Z}]*[=:]" % "|".join(names))
-    codes = F.when(has_items, F.array_sort(F.transform(items, code))).otherwise(F.array().cast("array<bigint>"))
-    rest = _letters_and_digits(F.when(has_items, F.regexp_replace(message, pattern, " ")).otherwise(message))
-    whole = F.concat(codes, F.array(F.xxhash64(rest), F.xxhash64(F.lit("rest"), rest)))
-    return F.when((F.length(rest) > 0) | (F.size(codes) > 0), whole)
+    codes = F.when(F.size("items") > 0, F.array_sort(F.transform("items", code))).otherwise(F.array().cast("array<bigint>"))
+    return df.select(*kept, F.concat(codes, F.array(F.xxhash64("rest"), F.xxhash64(F.lit("rest"), "rest"))).alias("tuple"))
 
 
-def record_keys(df: DataFrame, id_col: str, type_col: str, message_col: str) -> DataFrame:
-    """(id, key_hi, key_lo) of each record in which something counts; records with nothing are left out."""
-    mid = [F.xxhash64("m").alias("m_hi"), F.xxhash64(F.lit("message"), "m").alias("m_lo")]
+def record_keys(df: DataFrame, id_col: str, type_col: str, message_col: str, share: float | None = None) -> DataFrame:
+    """(id, key_hi, key_lo) of each record in which something counts; records with nothing are left out.
+
+    ``share`` is that of distinct messages, counted (approximately, in one pass) if not given; it
+    decides where messages are canonicalised, not what comes out.
+    """
     records = df.select(F.col(id_col).alias("id"), F.upper(F.coalesce(F.col(type_col), F.lit(""))).alias("t"), F.col(message_col).alias("m")).where(
         F.col("m").isNotNull() & (F.col("m") != "")
     )
-    dictionary = records.select("m").distinct().select(*mid, message_tuple(F.col("m")).alias("tuple")).where(F.col("tuple").isNotNull())
-    joined = records.select("id", "t", *mid).join(dictionary, ["m_hi", "m_lo"])
+    if share is None:
+        share = records.agg(F.try_divide(F.approx_count_distinct("m"), F.count(F.lit(1)))).first()[0] or 0.0
+    if share > DISTINCT_SHARE:
+        each = with_tuples(records, "m")
+    else:
+        mid = [F.xxhash64("m").alias("m_hi"), F.xxhash64(F.lit("message"), "m").alias("m_lo")]
+        dictionary = with_tuples(records.select("m").distinct().select("m", *mid), "m")
+        each = records.select("id", "t", *mid).join(dictionary, ["m_hi", "m_lo"])
     whole = F.concat(F.array(F.xxhash64("t")), F.col("tuple"))
-    return joined.select("id", F.xxhash64(whole).alias("key_hi"), F.xxhash64(F.lit("record"), whole).alias("key_lo"))
+    return each.select("id", F.xxhash64(whole).alias("key_hi"), F.xxhash64(F.lit("record"), whole).alias("key_lo"))
 
 
 def _group_sizes(keys: DataFrame) -> DataFrame:

@@ -34,6 +34,13 @@ def test_nulls_empty_and_repeated(spark):
     assert copies.link_copies(df).count() == 0 and copies.collapse_copies(df).count() == 0
 
 
+def test_both_ways_give_the_same(spark):
+    rows = [(i, "A", f"fix {i % 7} {'prio=1' if i % 2 else 'PRIO: 1'} {'!' * (i % 3)}") for i in range(60)] + [(60, None, "..."), (61, "a", "fix 3 prio=1")]
+    df = spark.createDataFrame(rows, "task_id bigint, type string, message string")
+    ways = [sorted(map(tuple, copies.record_keys(df, "task_id", "type", "message", share).collect())) for share in (0.0, 1.0, None)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == 61 and len({k[1:] for k in ways[0]}) == 7
+
+
 def test_collapse_counts(spark):
     df = spark.createDataFrame([(1, "A", "x"), (2, "a", "X."), (3, "A", "z"), (4, "A", None)], "task_id bigint, type string, message string")
     assert sorted(map(tuple, copies.collapse_copies(df).collect())) == [(1, 2), (3, 1)]
