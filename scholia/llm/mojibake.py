@@ -310,7 +310,7 @@ def train(df: DataFrame, id_col: str, fields: Iterable[str]) -> Model:
     """Fit on at most ``SAMPLE_TEXTS`` texts with other than ASCII characters (``SAMPLE_CHARS`` of each), chosen by the hash of their ids in one pass."""
     first = next(iter(fields))
     texts = df.select(F.substring(F.col(first), 1, SAMPLE_CHARS).alias("t"), F.col(id_col).alias("key"))
-    return fit([r.t for r in bounded_sample(texts, F.col("key"), SAMPLE_TEXTS, F.col("t").rlike(r"[^\x00-\x7f]"))])
+    return fit([r.t for r in bounded_sample(texts, F.col("key"), SAMPLE_TEXTS, F.col("t").rlike(r"[^\x00-\x7f]"), spare=6)])
 
 
 def find_garbled(df: DataFrame, model: Model, id_col: str, fields: Sequence[str]) -> DataFrame:
