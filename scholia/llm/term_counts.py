@@ -44,24 +44,31 @@ def whole_value(column: Column) -> Column:
     return F.when(column.isNull() | (column == ""), F.array().cast("array<string>")).otherwise(F.array(column))
 
 
-def _suffixes(values: DataFrame, max_n: int, salts: int) -> DataFrame:
-    terms = F.col("terms")
-    at = values.select("field", "terms", "weight", F.posexplode("terms").alias("p", "first"))
+_SUFFIX = "field string, first string, suffix array<string>, weight bigint, fresh int, salt int"
 
-    def seen_before(k: int) -> Column:
-        here = F.slice(terms, F.col("p") + 1, k)
-        earlier = F.exists(F.sequence(F.lit(0), F.col("p")), lambda j: (j < F.col("p")) & (F.slice(terms, j + 1, F.lit(k)) == here))
-        return F.when((F.col("p") + k <= F.size(terms)) & earlier, 1).otherwise(0)
 
-    seen = sum((seen_before(k) for k in range(1, max_n + 1)), F.lit(0))
-    return at.select(
-        "field",
-        F.slice(terms, F.col("p") + 1, max_n).alias("suffix"),
-        F.col("weight").cast("long").alias("weight"),
-        (seen + 1).alias("fresh"),
-        "first",
-        F.pmod(F.xxhash64("terms"), F.lit(salts)).alias("salt"),
-    )
+def _suffixes(values: DataFrame, max_n: int, salts: int) -> DataFrame:
+    """The suffixes of each value, cut to ``max_n`` terms, and from which length on their prefixes are new in the value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int32())
+        for batch in batches:
+            out: list[tuple] = []
+            for field, terms, weight, salt in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                seen: set[tuple[str, ...]] = set()
+                for p, first in enumerate(terms):
+                    suffix = terms[p : p + max_n]
+                    fresh = next((k for k in range(1, len(suffix) + 1) if tuple(suffix[:k]) not in seen), len(suffix) + 1)
+                    seen.update(tuple(suffix[:k]) for k in range(fresh, len(suffix) + 1))
+                    out.append((field, first, suffix, weight, fresh, salt))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["field", "first", "suffix", "weight", "fresh", "salt"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["field", "first", "suffix", "weight", "fresh", "salt"])
+
+    # Chosen by the value, so that all its suffixes with the same first term meet.
+    salt = F.pmod(F.xxhash64("terms"), F.lit(salts)).cast("int").alias("salt")
+    return values.select("field", "terms", F.col("weight").cast("long"), salt).mapInArrow(run, _SUFFIX)
 
 
 def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,14 +120,16 @@ def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def count_terms(df: DataFrame, fields: dict[str, Column], max_n: int = 3, salts: int = 8) -> DataFrame:
+def count_terms(df: DataFrame, fields: dict[str, Column], max_n: int = 3, salts: int | None = None) -> DataFrame:
     """Count every sequence of up to ``max_n`` terms in each field.
 
     ``fields`` maps a field's name to a column of type array<string>: the record's terms in order.
     Returns (field, terms, occurrences, records): how often the sequence occurs and in how many
-    records. Null values, null terms and empty arrays count nothing; an empty table gives an empty
+    records. A term that begins a large share of the distinct values is spread over ``salts`` tasks,
+    by default as many as a shuffle has partitions. Null values, null terms and empty arrays count nothing; an empty table gives an empty
     result; other columns of ``df`` are never read.
     """
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if salts is None else salts
     if max_n < 1 or salts < 1:
         raise ValueError("max_n and salts must be at least 1")
     pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), terms.alias("terms")) for name, terms in fields.items())))
