@@ -64,14 +64,24 @@ def vendored(path: Column) -> Column:
     return F.exists(dir_names(path), lambda s: F.concat(s, F.lit("/")).rlike(VENDORED))
 
 
-#: Approximate: lock files, minified code and the usual marks of generated code.
-GENERATED_NAME = r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|composer\.lock|Gopkg\.lock|go\.sum|yarn\.lock|poetry\.lock|Pipfile\.lock|pnpm-lock\.yaml|Cargo\.lock|uv\.lock)$|[.-]min\.(?:js|css)$|\.(?:js|css)\.map$|\.pb\.go$|_pb2(?:_grpc)?\.py$|\.designer\.cs$|\.g\.dart$"
-GENERATED_HEAD = r"(?m)^(?://|#|--|/\*|;|%)?\s*(?:Code generated .* DO NOT EDIT|@generated\b|Autogenerated by Thrift|Generated by the protocol buffer compiler|This file (?:was|is) (?:auto-?)?generated)"
+# Names of lock files and of code that tools write, and what such tools say in the head of a file. Approximate.
+GENERATED_NAME = (
+    r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|composer\.lock|Gopkg\.lock|glide\.lock|go\.sum|yarn\.lock|poetry\.lock|pdm\.lock|Pipfile\.lock|pnpm-lock\.yaml|Cargo\.lock|uv\.lock|esy\.lock|deno\.lock|flake\.lock"
+    r"|\.pnp\.(?:c|m)?js|ppport\.h|gradlew(?:\.bat)?|mvnw(?:\.cmd)?)$|(?:^|/)__generated__/|[.-]min\.(?:js|css)$|\.(?:js|css)\.map$|\.pb\.(?:go|cc|h)$|_pb2(?:_grpc)?\.py$|\.designer\.(?:cs|vb)$|\.g\.dart$|\.(?:nib|xcworkspacedata|xcuserstate)$"
+)
+GENERATED_HEAD = (
+    r"(?mi)^(?://|#|--|/\*|<!--|;|%)?[\s*]*(?:Code generated .* DO NOT EDIT|@generated\b|Autogenerated by Thrift|Generated by the protocol buffer compiler|This file (?:was|is) (?:auto-?|automatically )?generated"
+    r"|DO NOT EDIT THIS FILE - it is machine generated|Generated by (?:CoffeeScript|Haxe|roxygen2|the gRPC)|The following code was generated by JFlex|generated code - do not modify|THIS IS AN AUTOGENERATED FILE)"
+)
+#: Characters a line of a script or style sheet has on average if its white space has been taken out.
+MINIFIED = 110
 
 
 def generated(path: Column, content: Column) -> Column:
-    """Whether a file looks generated, by name or by its first 2,000 characters; false for nulls."""
-    return F.coalesce(path.rlike(GENERATED_NAME), F.lit(False)) | F.coalesce(F.substring(content, 1, 2000).rlike(GENERATED_HEAD), F.lit(False))
+    """Whether a file looks generated, by name, by its first 2,000 characters or by the length of its lines; false for nulls."""
+    lines = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+    minified = path.rlike(r"\.(?:js|css)$") & (F.length(content) > MINIFIED * lines)
+    return F.coalesce(path.rlike(GENERATED_NAME), F.lit(False)) | F.coalesce(F.substring(content, 1, 2000).rlike(GENERATED_HEAD), F.lit(False)) | F.coalesce(minified, F.lit(False))
 
 
 def keep(

@@ -182,6 +182,25 @@ def test_charsets():
         resolve("no-such")
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("// TODO: この部分はまだ遅いので、後で直すこと\n", ("shift_jis", "euc_jp")),
+        ("// TODO: カタカナのコメントも読める\n", ("shift_jis", "euc_jp")),
+        ("// TODO: 这里太慢了，因为任务队列每一行都要重新创建\n", ("gb18030",)),
+        ("// TODO: 這裡太慢了，因為工作佇列每一行都要重新建立\n", ("big5",)),
+        ("// TODO: 이 부분은 나중에 더 작은 모듈로 옮기는 것이 좋겠다\n", ("euc_kr",)),
+        ("// TODO: перенести этот код в отдельный модуль поменьше\n", ("cp1251", "koi8-r", "iso8859-5", "cp866")),
+        ("// TODO: αυτό το τμήμα είναι πολύ αργό ακόμη\n", ("cp1253",)),
+        ("// TODO: la règle imbriquée échoue à la fin, très coûteux\n", ("cp1252",)),
+        ("// TODO: das Übergabeformat zählt Umlaute wie ü und ö doppelt\n", ("cp1252",)),
+    ],
+)
+def test_charset_detection(text, names):
+    for name in names:
+        assert decode(text.encode(name), "detect") == text, name
+
+
 def test_globs():
     import re
 
