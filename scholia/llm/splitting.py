@@ -187,23 +187,53 @@ def _take(units: Units, strength: np.ndarray, first: int, last: int, level: int,
 def merge(segments: Segments, most: int) -> Segments:
     """The segments left after merging neighbours across the weakest boundaries while they hold at most ``most`` tokens.
 
-    Among equal boundaries the smaller pair goes first, then the earlier one.
+    Among equal boundaries the smaller pair goes first, then the earlier one. A pair that is too
+    large once stays so, as segments only grow; so grades of boundaries can be worked off one by
+    one, and within a grade each run of segments between other boundaries by itself. Only a run
+    that does not fit as a whole needs a heap.
     """
-    n = len(segments)
-    ends, size, strength = (list(column) for column in zip(*segments))
+    for grade in sorted({s for _, _, s in segments[:-1]}):
+        out: Segments = []
+        run: Segments = []
+        total = 0
+        for segment in segments:
+            run.append(segment)
+            total += segment[1]
+            if segment[2] != grade:
+                if len(run) == 1:
+                    out.append(segment)
+                elif total <= most:
+                    out.append((segment[0], total, segment[2]))
+                else:
+                    out += _merge_run(run, most)
+                run, total = [], 0
+        if run:
+            # The text's last boundary counts for nothing.
+            out += [(run[-1][0], total, run[-1][2])] if total <= most else _merge_run(run, most)
+        segments = out
+    return segments
+
+
+def _merge_run(run: Segments, most: int) -> Segments:
+    """The same for a run with equal boundaries inside."""
+    size = [n for _, n, _ in run]
+    heap = [(a + b << 32) + i for i, (a, b) in enumerate(zip(size, size[1:])) if a + b <= most]
+    if not heap:
+        return run
+    n = len(run)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    # One number orders a pair: strength, then size, then the left segment.
-    heap = [(s << 62) + (a + b << 32) + i for i, (s, a, b) in enumerate(zip(strength, size, size[1:])) if a + b <= most]
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
         pair = pop(heap)
         i = pair & 0xFFFFFFFF
+        if not alive[i]:
+            continue
         j = after[i]
-        if not alive[i] or j >= n:
+        if j >= n:
             continue
         total = size[i] + size[j]
-        if (pair >> 32) & 0x3FFFFFFF != total:
+        if pair >> 32 != total:
             continue
         # The merged segment lives on as j, whose end and boundary are the later ones.
         alive[i] = False
@@ -212,11 +242,11 @@ def merge(segments: Segments, most: int) -> Segments:
         if h >= 0:
             after[h] = j
             if size[h] + total <= most:
-                push(heap, (strength[h] << 62) + (size[h] + total << 32) + h)
+                push(heap, (size[h] + total << 32) + h)
         k = after[j]
         if k < n and total + size[k] <= most:
-            push(heap, (strength[j] << 62) + (total + size[k] << 32) + j)
-    return [(ends[i], size[i], strength[i]) for i in range(n) if alive[i]]
+            push(heap, (total + size[k] << 32) + j)
+    return [(run[i][0], size[i], run[i][2]) for i in range(n) if alive[i]]
 
 
 def split_text(text: str | None, limits: list[tuple[int, int]], encode: Encoder) -> list[list[tuple[int, int, int, int]]]:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scholia.llm.bpe import TOKENIZER_DIR, encoder
-from scholia.llm.splitting import split_text, split_texts
+from scholia.llm.splitting import merge, split_text, split_texts
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZER_DIR), reason="no vocabulary files here")
 LIMITS = [(80, 16), (80, 0), (128, 16), (300, 64)]
@@ -31,6 +31,17 @@ def test_pieces(parts):
     check("".join(parts))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(0, 3)), min_size=1, max_size=25), st.integers(12, 40))
+def test_merging_is_weakest_boundary_first(parts, most):
+    left = [(i + 1, n, grade) for i, (n, grade) in enumerate(parts)]
+    found = merge(left, most)
+    while pairs := [(a[2], a[1] + b[1], i) for i, (a, b) in enumerate(zip(left, left[1:])) if a[1] + b[1] <= most]:
+        _, total, i = min(pairs)
+        left[i : i + 2] = [(left[i + 1][0], total, left[i + 1][2])]
+    assert found == left
+
+
 @pytest.mark.parametrize("text", ["x" * 5000, "日本語" * 900, "a\n\n" * 700, "  " * 900 + "b", "😀" * 300, "the cat. " * 2000, "\n" * 3000])
 def test_long_texts(text):
     check(text)
