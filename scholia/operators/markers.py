@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ DEFAULT_TYPES = (
 
 #: White space in patterns, and the Unicode white space that is trimmed around texts.
 _S = r"[\t\n\f\r ]"
-_TRIM = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # What may follow a marker; groups are label, message, lone label, message.
 _AFTER_SPACED = rf"{_S}*|\((.*)\)(?:{_S}+[\-/]*|{_S}*:*){_S}*(.*)|\((.*)\){_S}*|{_S}*(?::+|{_S}+[\-/]+){_S}*(.*)"
@@ -38,7 +39,7 @@ def patterns(types: Sequence[str] = DEFAULT_TYPES) -> dict[str, str]:
 
 def trim_space(column: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(column, rf"^{_TRIM}|{_TRIM}\z", "")
+    return F.btrim(column, F.lit(_SPACE))
 
 
 def _parts(column: Column, pattern: str) -> Column:
@@ -64,15 +65,19 @@ def markers_of(comments: DataFrame, types: Sequence[str] = DEFAULT_TYPES, labels
 
     kept = [c for c in comments.columns if c not in ("text", "line", "multiline", "start_tok", "end_tok")]
     p = patterns(types)
-    quick = "|".join(re.escape(t) for t in types if t)
-    if not quick:
-        p, quick = patterns([r"\0"]), "(?!)"
+    # A plain search for each type is faster than any pattern; a type that holds another one is found with it.
+    words = [t for t in types if t and not any(o and o != t and o in t for o in types)]
+    if not words:
+        p = patterns([r"\0"])
+    quick = lambda c: reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words], F.lit(False))
     lines = F.posexplode(F.when(F.col("multiline"), F.split(trim_space(F.col("text")), "\n")).otherwise(F.array(trim_space(F.col("text")))))
-    each = comments.where(F.col("text").rlike(quick)).select(*kept, "line", "multiline", "start_tok", "end_tok", lines.alias("at", "own"))
-    each = each.where(F.col("own").rlike(quick))
+    each = comments.where(quick(F.col("text"))).select(*kept, "line", "multiline", "start_tok", "end_tok", lines.alias("at", "own"))
+    each = each.where(quick(F.col("own")))
     in_block = F.rtrim(F.ltrim(F.col("own"), F.col("start_tok")), F.col("end_tok"))
     part = F.when(F.col("multiline"), F.when(in_block.rlike(p["block"]), _parts(in_block, p["block"]))).otherwise(_line_parts(F.col("own"), F.col("start_tok"), p))
-    found = each.withColumn("part", part).where(F.col("part.type") != "").select(
+    # A generator between, so that the condition below is not pushed under the patterns and evaluates them again.
+    each = each.select("*", F.explode(F.array(part)).alias("part"))
+    found = each.where(F.col("part.type") != "").select(
         *kept,
         F.col("part.type").alias("type"),
         trim_space(F.col("own")).alias("text"),
