@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import cProfile
 import os
 import sys
 from functools import reduce
@@ -43,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-g", "--language", default=None)
     p.add_argument("--no-error-on-unsupported", action="store_true")
     p.add_argument("-o", "--output", default="", choices=["", *REPORTS])
+    p.add_argument("--profile", default=None, metavar="FILE", help="write a CPU profile of the driver to FILE; tasks are seen in Spark's own interface")
     p.add_argument("--todo-types", default=None)
     p.add_argument("-v", "--version", action="version", version=__version__)
     return p
@@ -61,7 +63,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         return FLAG_ERROR
     try:
         spark = spark or SparkSession.builder.appName("scholia").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-        return _scan(a, spark, out, err)
+        if not a.profile:
+            return _scan(a, spark, out, err)
+        profile = cProfile.Profile()
+        try:
+            return profile.runcall(_scan, a, spark, out, err)
+        finally:
+            profile.dump_stats(a.profile)
     except Exception as e:
         print(f"scholia: unexpected error: {e}", file=err)
         return UNKNOWN_ERROR

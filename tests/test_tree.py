@@ -115,6 +115,7 @@ def test_command_line(spark, tree, monkeypatch):
     assert run("-o", "json", a)[1] == f'{{"path":"{a}","type":"TODO","text":"// TODO(x): one","label":"x","message":"one","line":1,"comment_line":1}}\n'
     assert run("--todo-types", "HACK", a) == (0, "", "")
     assert run("--label", "[", a)[0] == 2 and run("-c", "no-such", a)[0] == 2 and run("-o", "xml", a)[0] == 2
+    assert run("--profile", str(tree / "cpu.prof"), "-o", "default", a)[0] == 1 and (tree / "cpu.prof").stat().st_size > 0
     code, _, err = run(str(tree / "none"), a)
     assert code == 3 and "none: no such file or directory" in err
     os.symlink(tree, tree / "sub" / "up")
