@@ -23,7 +23,7 @@ from scholia.plans.tables import materialize
 #: Containers and rows a block is laid out for; both bound what one task holds.
 WINDOWS, ROWS = 128, 20_000
 #: Groups of three sets that are tried for one set above the capacity before the number of containers rises.
-TRIES = 50
+TRIES = 20
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -110,11 +110,22 @@ def fit(sizes: np.ndarray, group: np.ndarray, k: int, capacity: int, tries: int
     version = list(range(k))
     turn, failed, again = k, set(), set()
 
+    def possible(which: tuple[int, ...]) -> bool:
+        """Whether some items of the sets fill one container so far that the rest may fit in the others: a bit for each sum they can have."""
+        reach, rest = 1, sum(sums[g] for g in which) - (len(which) - 1) * capacity
+        for g in which:
+            for i in sets[g]:
+                reach |= reach << size[i]
+        return rest <= 0 or (reach >> rest) & ((1 << capacity - rest + 1) - 1) != 0
+
     def redo(which: tuple[int, ...]) -> bool:
         nonlocal turn
         key = tuple(version[g] for g in which)
         if key in failed:
             return False
+        if not possible(which):
+            failed.add(key)
+            return False
         items = [i for g in which for i in sets[g]]
         found = difference_few([size[i] for i in items], len(which))
         if found[0][0] > capacity:
@@ -181,10 +192,11 @@ def pack(sizes: DataFrame, capacities: dict[int, int], id_col: str, size_col: st
     each = sizes.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
     # Written once, so that rows keep their numbers and sizes are not counted again.
     each = materialize(each)
-    rows, total = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    limits = F.explode(
-        F.array(*(F.struct(F.lit(i).alias("limit_id"), F.lit(c).cast("bigint").alias("cap"), F.lit(max(1, round(total / (c * WINDOWS)), rows // ROWS)).cast("bigint").alias("blocks")) for i, c in sorted(capacities.items())))
-    )
+    # What is left to pack when full pieces are cut off decides how many blocks there are.
+    left = {c: F.coalesce(F.sum(F.when(F.col("n") > c, F.col("n") % c).otherwise(F.col("n"))), F.lit(0)).alias(str(c)) for c in set(capacities.values())}
+    found = each.agg(F.count(F.lit(1)).alias("rows"), *left.values()).first()
+    blocks = {c: max(1, round(found[str(c)] / (c * WINDOWS)), found["rows"] // ROWS) for c in left}
+    limits = F.explode(F.array(*(F.struct(F.lit(i).alias("limit_id"), F.lit(c).cast("bigint").alias("cap"), F.lit(blocks[c]).cast("bigint").alias("blocks")) for i, c in sorted(capacities.items()))))
     each = each.withColumn("l", limits).select("row", "id", "n", "l.limit_id", "l.cap", F.pmod(F.xxhash64("row", "l.limit_id"), F.col("l.blocks")).alias("block"))
     n_full = F.when(F.col("n") > F.col("cap"), F.floor(F.col("n") / F.col("cap"))).otherwise(0)
     pieces = F.sequence(F.lit(0).cast("bigint"), n_full - F.when((n_full > 0) & (F.col("n") % F.col("cap") == 0), 1).otherwise(0))

@@ -54,3 +54,19 @@ def test_files(spark, model):
     got = sorted((r.file_id, r.nat_lang, r.n_sentences) for r in find_languages(df, model).collect())
     assert got == [(1, "de", 1), (1, "en", 1), (4, "ja", 1), (7, "en", 1)]
     assert find_languages(df.limit(0), model).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_shares(spark):
+    from scholia.llm.queries import p2_found, p2_shares
+
+    d = "/root/testdata/sf0.001"
+    rows = p2_shares(spark, d).collect()
+    chars = {r.file_id: len(r.content) for r in spark.read.parquet(f"{d}/source_files.parquet").collect() if r.content}
+    assert {(r.file_id, r.nat_lang) for r in rows} == {tuple(r) for r in p2_found(spark, d).collect()} and rows
+    for r in rows:
+        assert r.n_sentences >= 1 and r.n_chars >= 10 and r.share == round(r.n_chars / chars[r.file_id], 4) <= 1
+    by_file = {}
+    for r in rows:
+        by_file[r.file_id] = by_file.get(r.file_id, 0) + r.n_chars
+    assert all(n <= chars[i] for i, n in by_file.items())
