@@ -1,5 +1,6 @@
 import io
 import os
+import shutil
 import subprocess
 
 import pytest
@@ -13,7 +14,7 @@ from scholia.functions.langs import languages_in
 from scholia.functions.reports import plain_line
 from scholia.operators.blame import beyond_authors
 from scholia.sources import codefiles
-from scholia.sources.gitblame import parse_porcelain
+from scholia.sources.gitblame import blame_of, parse_porcelain
 from scholia.sources.walk import WalkOptions, list_files
 
 
@@ -220,3 +221,28 @@ def test_library_does_not_need_its_optional_part():
     code = "import sys; sys.modules['scholia.llm'] = None\nimport __spark_entry__ as e; assert len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run(["python", "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+@pytest.mark.skipif(not shutil.which("git"), reason="no git here")
+def test_line_authors_from_git(spark, tmp_path):
+    def git(*args, who="A B"):
+        env = {"PATH": os.environ["PATH"], "HOME": str(tmp_path), "GIT_AUTHOR_NAME": who, "GIT_AUTHOR_EMAIL": f"{who[0].lower()}@x.example", "GIT_COMMITTER_NAME": "C", "GIT_COMMITTER_EMAIL": "c@x.example"}
+        subprocess.run(["git", "-C", str(tmp_path), *args], check=True, capture_output=True, env=env)
+
+    (tmp_path / "sub").mkdir()
+    file = tmp_path / "sub" / "a.py"
+    file.write_text("# TODO: one\n")
+    git("init", "-q")
+    git("add", "sub/a.py")
+    git("commit", "-qm", "x")
+    file.write_text("# TODO: one\n# TODO: two\n")
+    git("commit", "-qam", "y", who="D E")
+    file.write_text("# TODO: one\n# TODO: two\n# TODO: not committed\n")
+    (tmp_path / "sub" / "new.py").write_text("# TODO: new\n")
+    tasks, _ = scan_tree(spark, [str(tmp_path / "sub")])
+    lines = blame_of(tasks)
+    assert sorted(map(tuple, lines.collect())) == [(str(file), 1, "A B", "a@x.example"), (str(file), 2, "D E", "d@x.example")]
+    out, err = io.StringIO(), io.StringIO()
+    assert cli.main(["--blame", "-o", "default", str(tmp_path / "sub")], spark, out, err) == 3
+    assert out.getvalue().splitlines()[:2] == [f"{file}:1:A B <a@x.example>:# TODO: one", f"{file}:2:D E <d@x.example>:# TODO: two"]
+    assert err.getvalue() == f"scholia: {file}: no author of line 3\n"
