@@ -23,7 +23,7 @@ from scholia.plans.tables import materialize
 #: Containers and rows a block is laid out for; both bound what one task holds.
 WINDOWS, ROWS = 128, 20_000
 #: Groups of three sets that are tried for one set above the capacity before the number of containers rises.
-TRIES = 20
+TRIES = 10
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
