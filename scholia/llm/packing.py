@@ -23,7 +23,7 @@ from scholia.plans.tables import materialize
 #: Containers and rows a block is laid out for; both bound what one task holds.
 WINDOWS, ROWS = 128, 20_000
 #: Groups of three sets that are tried for one set above the capacity before the number of containers rises.
-TRIES = 10
+TRIES = 20
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -96,6 +96,22 @@ def difference_few(sizes: list[int], k: int) -> list[tuple[int, tuple[int, ...]]
     return list(heap[0][2])
 
 
+def _largest_sum(sizes: list[int], k: int) -> int:
+    """The largest sum that ``difference_few`` leaves; most groups are only asked for that."""
+    heap = [(-n, i, [n] + [0] * (k - 1)) for i, n in enumerate(sizes)]
+    heapq.heapify(heap)
+    turn = len(heap)
+    pop = heapq.heappop
+    while len(heap) > 1:
+        a, b = pop(heap)[2], pop(heap)[2]
+        b.reverse()
+        both = [x + y for x, y in zip(a, b)]
+        both.sort(reverse=True)
+        heapq.heappush(heap, (both[-1] - both[0], turn, both))
+        turn += 1
+    return heap[0][2][0]
+
+
 def fit(sizes: np.ndarray, group: np.ndarray, k: int, capacity: int, tries: int = TRIES) -> tuple[np.ndarray, int]:
     """(set of each item, items differenced again): the sets of a partition brought under the capacity.
 
@@ -127,10 +143,11 @@ def fit(sizes: np.ndarray, group: np.ndarray, k: int, capacity: int, tries: int
             failed.add(key)
             return False
         items = [i for g in which for i in sets[g]]
-        found = difference_few([size[i] for i in items], len(which))
-        if found[0][0] > capacity:
+        own = [size[i] for i in items]
+        if _largest_sum(own, len(which)) > capacity:
             failed.add(key)
             return False
+        found = difference_few(own, len(which))
         for g, (total, own) in zip(which, found):
             sets[g], sums[g], version[g] = [items[i] for i in own], total, turn
             turn += 1
