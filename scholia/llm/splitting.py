@@ -29,6 +29,8 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, NONE = 5, 4, 3, 2, 1, 0
 _SLACK = 2
 #: A unit is never larger: longer stretches without a boundary are cut between whole characters.
 _UNIT = 32
+#: Inside a stretch of plain characters without white space, where there is no natural boundary, a unit has at least so many, except the last.
+_GRAIN = 8
 
 _BREAK = re.compile(r"[\r\n.!?…。！？]+[\"'”’»)\]」』）]*\s*")
 _CLAUSE = re.compile(r"[,;:]+\s+|[，、；：]")
@@ -56,13 +58,26 @@ class Units:
             for i in reversed(large):
                 own: list[int] = []
                 counts: list[int] = []
+                least = _GRAIN if chunks[i].isascii() else 0
+                size = n = 0
                 for word in encode.split(chunks[i]):
                     ids = encode.ids_of(word)
                     if len(ids) <= 4 * _UNIT:
-                        own.append(len(word))
-                        counts.append(len(ids) >> 2)
+                        size += len(word)
+                        n += len(ids) >> 2
+                        if n >= least:
+                            own.append(size)
+                            counts.append(n)
+                            size = n = 0
                     else:
+                        if n:
+                            own.append(size)
+                            counts.append(n)
+                            size = n = 0
                         self._cut(ids, own, counts)
+                if n:
+                    own.append(size)
+                    counts.append(n)
                 ends[i : i + 1], sizes[i : i + 1] = own, counts
                 more[i] = len(own) - 1
             words = np.arange(len(chunks)) + np.cumsum(more)
