@@ -164,7 +164,7 @@ def sentence(r: random.Random, first_names: Sequence[str]) -> Pieces:
     if r.random() < 0.3:
         out += _around(r.choice(_AGAIN), value, kind)
     elif r.random() < 0.3:
-        other = r.choice([EMAIL, PHONE, ID, NAME])
+        other = r.choice([EMAIL, PHONE, ID, NAME, ADDRESS])
         # A number alone behind another detail might be anything.
         again = invent(other, r, first_names)
         out += [(r.choice([", ", " / ", " "]), 0), *(_around("passport {}", again, ID) if other == ID else [(again, other)])]
