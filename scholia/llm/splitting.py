@@ -49,7 +49,9 @@ class Units:
         chunks = encode.split(text) if encode.separators(text) else encode.chunk(text)
         ends, sizes = list(map(len, chunks)), list(map(encode.sizes.__getitem__, chunks))
         words = None
-        if text.isascii():
+        if not ends or max(ends) <= (_UNIT if text.isascii() else 12):
+            large = []
+        elif text.isascii():
             large = [i for i, n in enumerate(ends) if n > _UNIT and (n > 60 or sizes[i] > _UNIT)]
         else:
             large = [i for i, n in enumerate(ends) if n > 12 and (n > 60 or sizes[i] > _UNIT or not chunks[i].isascii())]
@@ -154,7 +156,9 @@ class Units:
             at, grade = np.array(found).T
             unit = np.searchsorted(self.end_at, at)
             right = (self.end_at[np.minimum(unit, len(self))] == at) & (unit > 0)
-            np.maximum.at(strength, unit[right] - 1, grade[right].astype(np.int8))
+            # No two marks end at the same unit.
+            before = unit[right] - 1
+            strength[before] = np.maximum(strength[before], grade[right])
 
 
 Segments = list[tuple[int, int, int]]
