@@ -70,8 +70,6 @@ MINE = -8.0
 MARGIN = 0.7
 #: Of two words that differ by a typing error, up to this share of the right one's partners may be errors, however many rows there are.
 ERROR_SHARE = 0.1
-#: A mailbox under more full names than this is shared, not personal, and is no evidence.
-SHARED = 20
 
 def fold(text: str) -> str:
     """Lower case without accents, apostrophes and hyphens."""
@@ -213,31 +211,27 @@ def _weights(counted: dict[str, tuple[float, float]]) -> dict[str, float]:
 
 
 def _weigh(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``p``: the log posterior, up to a constant, of each (v, c), and ``more``: how probable those are whom the block did not lend out."""
-    strongest = F.greatest(*(F.when(F.col(k), F.lit(weights[k])).otherwise(0.0) for k in ("same", "made", "short")))
+    """``p``: the log posterior, up to a constant, of each (v, c)."""
+    told = {k: weights[k] - F.col("crowd") if k == "same" else F.lit(weights[k]) for k in ("same", "made", "short")}
+    strongest = F.greatest(*(F.when(F.col(k), w).otherwise(0.0) for k, w in told.items()), F.lit(0.0))
     others = sum((F.when(F.col(k), F.lit(weights[k])).otherwise(0.0) for k in ("unlike", "initial")), F.when(F.col("domain"), weights["domain"]).when(F.col("elsewhere"), weights["elsewhere"]).otherwise(0.0))
-    out = df.withColumn("p", F.log(F.col("n").cast("double")) + F.col("name_p") + strongest + others)
-    return out.withColumn("more", F.col("rest") * F.exp(F.lit(max(weights["initial"], weights["short"]) + weights["elsewhere"])))
+    return df.withColumn("p", F.log(F.col("n").cast("double")) + F.col("name_p") + strongest + others)
 
 
-def _best(df: DataFrame) -> DataFrame:
-    """(v, b) of the candidates of maximum posterior that stand out from all others together and from somebody new."""
-    top = F.max_by(F.struct("p", "c", *EVIDENCE), F.struct("p", (-F.col("id")).alias("i")))
-    ranked = df.groupBy("v").agg(top.alias("b"), F.sum(F.exp(F.least("p", F.lit(60.0)))).alias("every"), F.max("more").alias("more"))
-    others = F.greatest(F.col("every") - F.exp(F.least(F.col("b.p"), F.lit(60.0))), F.lit(0.0)) + F.col("more")
-    return ranked.where((F.col("b.p") > 0) & (F.col("b.p") - F.log(others + 1e-9) >= MARGIN)).select("v", "b")
+def _best(df: DataFrame, of: str = "c") -> DataFrame:
+    """(v, b) of the candidates of maximum posterior that stand out from all others together and from somebody new; ``of`` holds what counts as one."""
+    top, order = F.struct("p", "c", F.least("m", F.lit(1.0)).alias("m"), *EVIDENCE), F.struct("p", (-F.col("id")).alias("i"))
+    p = F.least("p", F.lit(60.0))
+    # A row stands for m candidates of the same evidence, s times together, of whom it names the most frequent.
+    one = df.groupBy("v", of).agg(F.max(order).alias("o"), F.max_by(top, order).alias("b"), F.sum(F.exp(p)).alias("own"), F.sum(F.exp(p) * (F.col("s") / F.col("n") - 1)).alias("more"))
+    ranked = one.groupBy("v").agg(F.max_by(F.struct("b", "own"), "o").alias("t"), F.sum("own").alias("every"), F.sum("more").alias("more"))
+    others = F.greatest(F.col("every") - F.col("t.own"), F.lit(0.0)) + F.col("more")
+    return ranked.where((F.col("t.b.p") > 0) & (F.col("t.b.p") - F.log(others + 1e-9) >= MARGIN)).select("v", F.col("t.b").alias("b"))
 
 
-def attribute(pairs: DataFrame) -> DataFrame:
-    """(v, c): each variant with its candidate of maximum posterior.
-
-    ``pairs`` has v, c, id (breaks ties), n (the candidate's frequency), rest (the frequency of further
-    candidates), name_p and a column for each piece of evidence, one row per pair. Attributes once
-    with the likelihoods of ``EVIDENCE``, counts the evidence of pairs that were and were not
-    chosen, and attributes again with these counts added.
-    """
-    pairs = materialize(pairs)
-    counts = lambda df: df.agg(F.count(F.lit(1)).alias("all"), *(F.coalesce(F.sum(F.col(k).cast("long")), F.lit(0)).alias(k) for k in EVIDENCE)).first()
+def _counted(pairs: DataFrame) -> dict[str, float]:
+    """Log likelihood ratios with the evidence of pairs that are and are not chosen by those of ``EVIDENCE``."""
+    counts = lambda df: df.agg(*(F.coalesce(F.sum(x * F.col("m")), F.lit(0.0)).alias(k) for k, x in [("all", F.lit(1)), *((k, F.col(k).cast("long")) for k in EVIDENCE)])).first()
     every, chosen = counts(pairs), counts(_best(_weigh(pairs, _weights(EVIDENCE))).select("b.*"))
 
     def shares(k: str) -> tuple[float, float]:
@@ -245,7 +239,19 @@ def attribute(pairs: DataFrame) -> DataFrame:
         same = (BELIEF * same + chosen[k]) / (BELIEF + chosen["all"])
         return same, other if k in KEYS else (BELIEF * other + every[k] - chosen[k]) / (BELIEF + every["all"] - chosen["all"])
 
-    return _best(_weigh(pairs, _weights({k: shares(k) for k in EVIDENCE}))).select("v", F.col("b.c").alias("c"))
+    return _weights({k: shares(k) for k in EVIDENCE})
+
+
+def attribute(pairs: DataFrame) -> DataFrame:
+    """(v, c): each variant with its candidate of maximum posterior.
+
+    ``pairs`` has v, c, id (breaks ties), n (the candidate's frequency), m and s (how many candidates the row
+    stands for, and their frequency together), name_p, crowd and a column for each piece of evidence. Attributes
+    once with the likelihoods of ``EVIDENCE``, counts the evidence of pairs that were and were not
+    chosen, and attributes again with these counts added.
+    """
+    pairs = materialize(pairs)
+    return _best(_weigh(pairs, _counted(pairs))).select("v", F.col("b.c").alias("c"))
 
 
 def _follow(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -259,6 +265,25 @@ def _follow(steps: DataFrame, nodes: DataFrame) -> DataFrame:
             return at
 
 
+def _settle(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(v, root): like ``attribute`` where candidates may themselves be variants of each other, with every step followed.
+
+    Candidates that are found to be the same do not compete. At first everything goes to its most
+    probable candidate; whatever does not stand out from those that end up elsewhere is taken back, until nothing is.
+    """
+    pairs = materialize(pairs)
+    weighed = materialize(_weigh(pairs, _counted(pairs)))
+    steps = materialize(weighed.where("p > 0").groupBy("v").agg(F.max_by("c", F.struct("p", (-F.col("id")).alias("i"))).alias("c")))
+    known = steps.count()
+    while True:
+        at = _follow(steps, nodes)
+        ends = at.select(F.col("v").alias("c"), "root")
+        steps = materialize(_best(weighed.join(ends, "c"), "root").select("v", F.col("b.c").alias("c")))
+        if (left := steps.count()) >= known:
+            return at
+        known = left
+
+
 def _canonical(forms: DataFrame) -> DataFrame:
     """(w, id, n, kind, home, a, b, a_written, b_written, a_d, b_d, rank): canonical forms with their frequency and smallest form.
 
@@ -312,13 +337,67 @@ def _name_likelihood(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         .when(one_equal, PART)
         .otherwise(UNRELATED)
     )
-    return both.select("v", "c", F.col("c_id").alias("id"), F.col("c_n").alias("n"), name_p.alias("name_p"), "rest", *EVIDENCE)
+    # Names that have met in a mailbox of many only are more likely those of many, and each of them counts once.
+    crowded = F.when(F.col("only"), F.greatest(F.col("crowd") - math.log(EVIDENCE["same"][0] / EVIDENCE["same"][1]), F.lit(0.0))).otherwise(0.0)
+    return both.select("v", "c", F.col("c_id").alias("id"), F.col("c_n").alias("n"), F.when(F.col("only"), F.exp(-F.col("crowd") / 2)).otherwise(1.0).alias("m"), F.col("c_n").alias("s"), (name_p - crowded).alias("name_p"), "crowd", *EVIDENCE)
 
 
 def _merged(found: DataFrame, home: DataFrame) -> DataFrame:
-    """One row per (v, c) with the evidence of all its rows; ``found`` has v, c, how, rest and at (a domain of v); ``home`` (c, at)."""
+    """One row per (v, c) with the evidence of all its rows; ``found`` has v, c, how, crowd and at (a domain of v); ``home`` (c, at)."""
     told = found.join(home.select("c", "at", F.lit(True).alias("shared")), ["c", "at"], "left")
-    return told.groupBy("v", "c").agg(F.max("rest").alias("rest"), *(F.max(F.col("how") == k).alias(k) for k in KEYS), F.coalesce(F.max("shared"), F.lit(False)).alias("domain")).withColumn("unlike", F.lit(False))
+    flags = (F.max(F.col("how") == k).alias(k) for k in KEYS)
+    return told.groupBy("v", "c").agg(F.min("crowd").alias("crowd"), F.min(F.col("how") == "same").alias("only"), *flags, F.coalesce(F.max("shared"), F.lit(False)).alias("domain")).withColumn("unlike", F.lit(False))
+
+
+def _twice(wanted: DataFrame, lent: DataFrame) -> DataFrame:
+    """(v, c) that have met under two keys or more."""
+    twin = lambda df, k: df.select(k, F.col("key").alias("one")).join(df.select(k, F.col("key").alias("two")), k).where("one < two")
+    asked = materialize(twin(wanted, "v"))
+    keys = asked.select(F.explode(F.array("one", "two")).alias("key")).distinct()
+    return asked.join(twin(lent.join(keys, "key", "left_semi"), "c"), ["one", "two"]).select("v", "c").distinct()
+
+
+def _classes(wanted: DataFrame, lent: DataFrame, of_domain: DataFrame, known: DataFrame) -> DataFrame:
+    """What blocks lend: a row for each unit and all of its candidates of equal evidence, (v, c, id, n, m, s, home, domain, initial, short).
+
+    ``wanted`` has v, at, key, initial and short, ``lent`` c, key, n, id and home, ``of_domain`` c and at,
+    ``known`` the (v, c) that have rows of their own and are left out. Candidates of one key differ in
+    frequency, in whether they have a domain and whether it is the unit's. So each key has lists by frequency, one of those
+    with a domain, one of those without, and one for each domain. The first left of a list can be told from the places that are taken,
+    and what is left from sums, so that no block is multiplied out, and nothing in it is lost.
+    """
+    window = lambda *by: Window.partitionBy(*by).orderBy(F.desc("n"), "id", "c")
+    lists = ["key", "home", "dom"]
+    general = [F.lit(True).alias("home"), F.lit("").alias("dom")]
+    lent = materialize(lent.join(wanted.select("key").distinct(), "key", "left_semi").withColumn("place", F.row_number().over(window("key", "home"))))
+    local = materialize(lent.join(of_domain, "c").withColumn("at_place", F.row_number().over(window("key", "at"))))
+    entries = lent.select("key", "home", F.lit("").alias("dom"), "place", "c", "n", "id").unionByName(local.select("key", F.lit(True).alias("home"), F.col("at").alias("dom"), F.col("at_place").alias("place"), "c", "n", "id"))
+    totals = materialize(entries.groupBy(*lists).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")))
+
+    def skipped(asked: DataFrame, members: Column, x: str) -> DataFrame:
+        """``asked`` (key, at, x) with the number of the domain's members below x in the list of all domains."""
+        both = local.select("key", "at", members.alias(x), F.lit(1).alias("member")).unionByName(asked.select("key", "at", x, F.lit(0).alias("member")).distinct())
+        below = F.sum("member").over(Window.partitionBy("key", "at").orderBy(x, "member").rowsBetween(Window.unboundedPreceding, 0))
+        return both.withColumn("skipped", below).where("member = 0").select("key", "at", x, "skipped", *general)
+
+    # Places that known ones take, counted without the members of the unit's domain where these have a list of their own.
+    taken = known.join(wanted.select("v", "at", "key"), "v").join(lent.select("key", "c", "home", "place", "n"), ["key", "c"]).join(local.select("key", "at", "c", "at_place"), ["key", "at", "c"], "left")
+    taken = materialize(taken.select("v", "key", "at", "home", F.when(F.col("at_place").isNotNull(), F.col("at")).otherwise("").alias("dom"), F.coalesce("at_place", "place").alias("place"), "n"))
+    general_taken = skipped(taken.where("home and dom = ''"), F.col("place"), "place")
+    taken = taken.join(general_taken, ["key", "at", "place", "home", "dom"], "left").withColumn("place", F.col("place") - F.coalesce("skipped", F.lit(0)))
+    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("v", *lists).orderBy("place")))
+    taken = taken.groupBy("v", *lists).agg(F.count(F.lit(1)).alias("m_taken"), F.sum("n").alias("s_taken"), F.sum((F.col("nth") == F.col("place")).cast("int")).alias("ahead"))
+
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    each = F.array_distinct(F.array(*(F.struct(F.lit(h).alias("home"), d.alias("dom")) for h, d in ((True, F.lit("")), (False, F.lit("")), (True, F.col("at"))))))
+    out = wanted.select("*", F.explode(each).alias("l")).select("v", "at", "key", "initial", "short", "l.home", "l.dom").join(totals, lists)
+    out = out.join(totals.where("dom <> ''").select("key", F.col("dom").alias("at"), *general, F.col("m").alias("m_local"), F.col("s").alias("s_local")), ["key", "at", "home", "dom"], "left").join(taken, ["v", *lists], "left")
+    out = out.withColumn("m", F.col("m") - none("m_local") - none("m_taken")).withColumn("s", F.col("s") - none("s_local") - none("s_taken")).withColumn("place", none("ahead") + 1)
+    out = materialize(out.where("m > 0").select("v", "at", *lists, "initial", "short", "m", "s", "place"))
+    # The first left is at this place of a list without the domain's members: how many of them stand before it?
+    before = skipped(out.where("home and dom = ''"), F.col("place") - F.col("at_place"), "place")
+    out = out.join(before, ["key", "at", "place", "home", "dom"], "left").withColumn("place", F.col("place") + none("skipped"))
+    return out.join(entries, [*lists, "place"]).select("v", "c", "id", "n", "m", "s", "home", (F.col("dom") != "").alias("domain"), "initial", "short")
 
 
 def link(users: DataFrame, id_col: str = "user_id", name_col: str = "name", email_col: str = "email") -> DataFrame:
@@ -326,8 +405,8 @@ def link(users: DataFrame, id_col: str = "user_id", name_col: str = "name", emai
 
     Rows with neither a name nor an address, and rows whose name and address say nothing, are
     entities of their own. Equal spellings are one form from the start, so a form that a third of
-    all rows share costs no more than any other; a block lends out only its most frequent
-    candidates where the rest cannot win. Repeated ids, null ids and an empty table are fine.
+    all rows share costs no more than any other. Every spelling is weighed against all candidates of its
+    blocks, those of equal evidence together. Repeated ids, null ids and an empty table are fine.
     """
     users = users.select(F.col(id_col).cast("bigint").alias("id"), F.col(name_col).alias("name"), F.col(email_col).alias("email"))
     said = users.where((F.coalesce(F.trim("name"), F.lit("")) != "") | (F.coalesce(F.trim("email"), F.lit("")) != ""))
@@ -346,17 +425,17 @@ def link(users: DataFrame, id_col: str = "user_id", name_col: str = "name", emai
     deleted = roots.where("a is not null").select("w", "rank", "kind", F.explode(F.array_distinct(F.concat(blocks, turned))).alias("block"))
     near = deleted.alias("v").join(deleted.alias("c"), (F.col("v.block") == F.col("c.block")) & (F.col("v.kind") == F.col("c.kind")) & (F.col("c.rank") > F.col("v.rank"))).select(F.col("v.w").alias("v"), F.col("c.w").alias("c"), F.lit("near").alias("how"))
     people = materialize(named.where("kind = 'p'").select("w", "names", "made", "initials", "address", "domain").join(roots.select("w", "rank"), "w"))
-    lend = F.max("rank")["w"].alias("c")
-    owner = people.where("address <> ''").groupBy("address").agg(lend, F.count_distinct("w").alias("users")).where(F.col("users") <= SHARED).select("address", "c")
-    same = people.where("address <> ''").join(owner, "address").where("w <> c").select(F.col("w").alias("v"), "c", F.lit("same").alias("how"))
-    of_letters = people.select("rank", F.explode("names").alias("key")).groupBy("key").agg(lend)
-    made = people.select("w", F.explode("made").alias("key")).join(of_letters, "key").where("w <> c").select(F.col("w").alias("v"), "c", F.lit("made").alias("how"))
+    # The more names a mailbox has, the likelier somebody else has it, and the more there are who may be meant.
+    users_of = people.where("address <> ''").select("address", "w", "rank").distinct()
+    crowd = users_of.groupBy("address").agg((2 * F.log(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).cast("double"))).alias("crowd"))
+    same = users_of.alias("v").join(users_of.alias("c"), "address").where("c.rank > v.rank").join(crowd, "address").groupBy(F.col("v.w").alias("v"), F.col("c.w").alias("c")).agg(F.min("crowd").alias("crowd")).withColumn("how", F.lit("same"))
+    of_letters = people.select(F.col("w").alias("c"), "rank", F.explode("names").alias("key")).distinct()
+    made = people.select(F.col("w").alias("v"), F.col("rank").alias("r"), F.explode("made").alias("key")).distinct().join(of_letters, "key").where("rank > r").select("v", "c", F.lit("made").alias("how"))
     at_home = materialize(named.where("domain <> ''").select("w", F.col("domain").alias("at")).distinct())
     # Each step is written before the next, which keeps plans small.
-    found = materialize(near.unionByName(same).unionByName(made).distinct()).withColumn("rest", F.lit(0.0))
+    found = materialize(near.unionByName(made).distinct().unionByName(same, allowMissingColumns=True)).withColumn("crowd", F.coalesce("crowd", F.lit(0.0)))
     pairs = _merged(found.join(at_home.withColumnRenamed("w", "v"), "v", "left"), at_home.withColumnRenamed("w", "c"))
-    steps = materialize(attribute(_name_likelihood(pairs, roots)))
-    at = _follow(steps, roots.select(F.col("w").alias("v")))
+    at = _settle(_name_likelihood(pairs, roots), roots.select(F.col("w").alias("v")))
     of_root = at.withColumnRenamed("v", "w")
     rooted = materialize(of_root.join(roots.select("w", "n", "id", "home"), "w"))
     root_n = materialize(rooted.groupBy(F.col("root").alias("c")).agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.max("home").alias("home")))
@@ -368,27 +447,25 @@ def link(users: DataFrame, id_col: str = "user_id", name_col: str = "name", emai
     of_domain = materialize(at_home.join(of_root.withColumnRenamed("root", "c"), "w").select("c", "at").distinct())
     seen = rest.where("address <> ''").select("v", "at", "address").distinct().join(people.where("address <> ''").select("address", "c").distinct(), "address").select("v", "c", "at", F.lit("same").alias("how"))
     letters = rest.select("v", "at", F.explode(F.concat("names", "made")).alias("key")).distinct().join(people.select("c", F.explode("names").alias("key")).distinct(), "key").select("v", "c", "at", F.lit("made").alias("how"))
-    # Under one name and initial only the two most frequent can win, or those of the same domain.
-    lent = materialize(people.select("c", F.explode("initials").alias("key")).distinct().join(root_n.drop("home"), "c"))
+    lent = materialize(people.select("c", F.explode("initials").alias("key")).distinct().join(root_n, "c"))
     keys = F.explode(F.concat(*(F.transform(k, lambda x: F.struct(x.alias("key"), F.lit(h).alias("how"))) for k, h in (("initials", "initial"), ("short", "short")))))
-    wanted = rest.select("v", "at", keys.alias("k")).select("v", "at", "k.key", "k.how").distinct()
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "id"))
-    first_two = lent.withColumn("place", place("key")).where("place <= 2")
-    whole = lent.groupBy("key").agg(F.sum("n").alias("whole"))
-    two = first_two.groupBy("key").agg(F.sum("n").alias("two"))
-    often = first_two.join(whole.join(two, "key").select("key", (F.col("whole") - F.col("two")).cast("double").alias("rest")), "key").select("key", "rest", "c")
-    local = lent.join(of_domain, "c").withColumn("place", place("key", "at")).where("place <= 2").select("key", "at", "c")
-    shortened = wanted.join(often, "key").select("v", "c", "at", "how", "rest")
-    met = shortened.unionByName(wanted.join(local, ["key", "at"]).select("v", "c", "at", "how").unionByName(seen).unionByName(letters).withColumn("rest", F.lit(0.0)))
-    met = materialize(_merged(met, of_domain))
+    wanted = materialize(rest.select("v", "at", keys.alias("k")).groupBy("v", "at", "k.key").agg(*(F.max(F.col("k.how") == h).alias(h) for h in ("initial", "short"))))
+    # Candidates met in more than one way have rows of their own, all others one for each block.
+    met = materialize(seen.unionByName(letters).distinct())
+    known = materialize(met.select("v", "c").unionByName(_twice(wanted, lent)).distinct())
+    how = F.explode(F.array_compact(F.array(*(F.when(F.col(h), F.lit(h)) for h in ("initial", "short")))))
+    by_key = known.join(wanted, "v").join(lent.select("c", "key"), ["c", "key"]).select("v", "c", "at", how.alias("how"))
+    met = _merged(met.unionByName(by_key).withColumn("crowd", F.lit(0.0)), of_domain).drop("crowd", "only").join(root_n, "c").withColumn("m", F.lit(1).cast("bigint")).withColumn("s", F.col("n"))
+    blocks = _classes(wanted, lent, of_domain, known).withColumn("same", F.lit(False)).withColumn("made", F.lit(False)).withColumn("unlike", F.lit(False))
+    met = materialize(met.unionByName(blocks)).withColumn("crowd", F.lit(0.0))
     # What a unit's domain is and whether its address says anything, and whether some candidate explains that address:
     # others hardly come by the very address that one candidate explains.
     units = rest.groupBy("v").agg(F.max(F.col("at") != "").alias("v_home"), F.max((F.size("made") > 0) | (F.size("short") > 0)).alias("told"))
     explained = F.col("same") | F.col("made") | F.col("short")
     some = met.groupBy("v").agg(F.max(explained).alias("explained"))
-    met = met.join(units.join(some, "v"), "v").join(root_n, "c").withColumn("unlike", F.col("told") & ~explained).withColumn("elsewhere", F.col("v_home") & F.col("home") & ~F.col("domain"))
-    met = met.withColumn("rest", F.when(F.col("explained"), 0.0).otherwise(F.col("rest"))).withColumn("name_p", F.when(F.col("explained") & F.col("unlike"), MINE).otherwise(0.0))
-    chosen = materialize(attribute(met.select("v", "c", "id", "n", "rest", "name_p", *EVIDENCE)))
+    met = met.join(units.join(some, "v"), "v").withColumn("unlike", F.col("told") & ~explained).withColumn("elsewhere", F.col("v_home") & F.col("home") & ~F.col("domain"))
+    met = met.withColumn("name_p", F.when(F.col("explained") & F.col("unlike"), MINE).otherwise(0.0))
+    chosen = materialize(attribute(met.select("v", "c", "id", "n", "m", "s", "name_p", "crowd", *EVIDENCE)))
 
     where = named.select("form", "w").join(of_root, "w").select("form", F.col("root").alias("r")).unionByName(rest.select("form", "v").join(chosen, "v", "left").select("form", F.coalesce("c", "v").alias("r")))
     where = materialize(where)

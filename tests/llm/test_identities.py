@@ -1,10 +1,11 @@
 import itertools
+import random
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from scholia.llm.identities import edits, link, pairs, parse
+from scholia.llm.identities import _classes, edits, link, pairs, parse
 
 USERS = [
     (1, "José Kilsohir", "jose.kilsohir@a.example"),
@@ -108,3 +109,57 @@ def test_hot_blocks_lend_out_few(spark):
     rows = [(i, f"Anna S{x}o{x}a", "all@x.example") for i, x in enumerate(letters)] + [(1000 + i, "Anna S.", f"box{i}@y.example") for i in range(50)] + [(2000, "Anna S.", f"s{letters[7]}o{letters[7]}a.anna@z.example")]
     found = groups(spark, rows)
     assert [7, 2000] in found and all(len(g) == 1 for g in found if g != [7, 2000])
+
+
+def test_no_candidate_is_left_out(spark):
+    """Candidates far down in every block they share with a spelling, rivals of one domain, and a mailbox under many names."""
+    rows, number = [], itertools.count(1)
+
+    def add(name, email=None, times=1):
+        ids = [next(number) for _ in range(times)]
+        rows.extend((i, name, email) for i in ids)
+        return ids
+
+    # Third of all under either key, first under both together.
+    for x in "bdg":
+        add(f"Anna Ku{x}o{x}", None, 2)
+        add(f"A{x}u{x}o Kolmar", None, 2)
+    third = add("Anna Kolmar", None) + add("akolmar", "anna.k@x.example")
+    # More frequent than any other of the domain, not than all of them.
+    rivals = [add(f"Mario T{x}u{x}e", f"mario.t{x}u{x}e@y.example", 5 if x == "bab" else 1)[0] for x in map("".join, itertools.product("bdfg", "aeiou", "b"))]
+    doubtful = add("Mario T.", "box1@y.example")
+    # One person's mailbox, with two errors in each of many spellings.
+    owner = add("Robert Werdmüller", "werdm7@z.example", 10)
+    for x in map("".join, itertools.product("bcdfg", "hjklm")):
+        owner += add(f"R{x[0]}bert Werdm{x[1]}ller", "werdm7@z.example")
+    # Another's first name as the mailbox of many people.
+    crowd = [add(f"Rita V{x}e{x}o{x}", "rita7@z.example", 3 if x == "l" else 1) for x in map("".join, itertools.product("bdfgl", "rstvwmnp"))]
+    found = groups(spark, rows)
+    assert third in found
+    assert doubtful in found and all(any(r in g and doubtful[0] not in g for g in found) for r in rivals)
+    assert owner in found
+    assert all(g in found for g in crowd)
+
+
+def test_blocks_stand_for_all_their_candidates(spark):
+    """Rows for candidates of equal evidence add up to what a join of everything with everything gives."""
+    r = random.Random(3)
+    who = {f"c{c}": (r.choice((1, 1, 2, 5)), c // 2, r.random() < 0.7) for c in range(60)}
+    lent = [(k, c) for k in "pqr" for c in who if r.random() < 0.6]
+    homes = {(c, d) for c in who if who[c][2] for d in "xyz" if r.random() < 0.5}
+    wanted = {(f"u{u}", ("", "x", "y", "w")[u % 4], k): (r.random() < 0.7, True) for u in range(40) for k in "pqr"[u % 3 :]}
+    known = {(f"u{u}", c) for u in range(40) for c in who if r.random() < (0.02, 0.3, 0.9)[u // 4 % 3]}
+    rows = _classes(
+        spark.createDataFrame([(*k, *how) for k, how in wanted.items()], "v string, at string, key string, initial boolean, short boolean"),
+        spark.createDataFrame([(c, k, *who[c]) for k, c in lent], "c string, key string, n bigint, id bigint, home boolean"),
+        spark.createDataFrame(sorted(homes), "c string, at string"),
+        spark.createDataFrame(sorted(known), "v string, c string"),
+    )
+    true: dict = {}
+    for (v, at, k), how in wanted.items():
+        for key, c in lent:
+            if key == k and (v, c) not in known:
+                true.setdefault((v, (c, at) in homes, who[c][2], *how, k), []).append((-who[c][0], who[c][1], c))
+    got = sorted((q.v, q.domain, q.home, q.initial, q.short, q.m, q.s, q.n, q.id, q.c) for q in rows.collect())
+    assert got == sorted((*e[:5], len(cs), -sum(n for n, _, _ in cs), -min(cs)[0], min(cs)[1], min(cs)[2]) for e, cs in true.items())
+    assert max(q[5] for q in got) > 10
