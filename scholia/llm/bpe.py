@@ -179,6 +179,10 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         #: Tokens of short stretches; zero for the others, which are counted piece by piece.
         self.sizes: dict[str, int] = _Known(self._size)
+        #: Tokens of pre-tokens.
+        self.word_sizes: dict[str, int] = _Known(self._word_size)
+        # The pattern for plain characters, the most frequent case first; the cases exclude each other.
+        self.split_plain = re.compile(r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
         self.cache_size = cache_size
 
     def _encode_word(self, word: str) -> bytes:
@@ -217,12 +221,32 @@ class Encoder:
         self._remember(piece, ids)
         return ids
 
+    def words(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece."""
+        return self.split_plain(piece) if piece.isascii() else self.split(piece)
+
     def _size(self, piece: str) -> int:
         if len(piece) > 60:
             return 0
         if len(self.sizes) >= self.cache_size:
             self.sizes.clear()
-        n = self.sizes[piece] = len(self.cache[piece]) >> 2
+        known = self.word_sizes
+        n = self.sizes[piece] = known[piece] if piece.isalpha() else sum([known[word] for word in self.words(piece)])
+        return n
+
+    def _word_size(self, word: str) -> int:
+        data, n = word.encode("utf-8"), 1
+        if data not in self.vocabulary.id_of:
+            last = [-1]
+            extend_last_tokens(self.vocabulary, data, last)
+            at, n, size = len(data), 0, self.vocabulary.size_of
+            while at:
+                at -= size[last[at]]
+                n += 1
+        if len(word) <= 60:
+            if len(self.word_sizes) >= self.cache_size:
+                self.word_sizes.clear()
+            self.word_sizes[word] = n
         return n
 
     def _remember(self, piece: str, ids: bytes) -> None:

@@ -76,3 +76,10 @@ def test_corpus(spark, public):
     assert got == {i: public(t) for i, t in enumerate(TEXTS)} | {50: [], None: public("a b")}
     assert encode_corpus(df).count() == len(rows) and encode_corpus(df.limit(0)).count() == 0
     assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()} == {k: len(v) for k, v in got.items()}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=40) | st.text("a1 '\n\tstrevmld\x1c.", max_size=40))
+def test_plain_pattern_is_the_pattern(text):
+    assert encoder().split_plain(text) == encoder().split(text)
+    assert encoder().words(text + "é") == encoder().split(text + "é")

@@ -4,8 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scholia.llm.bpe import TOKENIZER_DIR, encoder
-from scholia.llm.splitting import merge, split_text, split_texts
+from scholia.llm.bpe import TOKENIZER_DIR, Encoder, encoder
+from scholia.llm.splitting import Units, merge, split_all, split_text, split_texts
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZER_DIR), reason="no vocabulary files here")
 LIMITS = [(80, 16), (80, 0), (128, 16), (300, 64)]
@@ -75,3 +75,22 @@ def test_pieces_of_a_limit_do_not_depend_on_the_others(unit):
     limits = [(128, 16), (512, 64), (1024, 128), (80, 0)]
     for limit, pieces in zip(limits, split_text(text, limits, encode)):
         assert pieces and pieces == split_text(text, [limit], encode)[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["The quick fox. ", "one, two; three\n", "\n\n", "日本語です。", " ", "x" * 90, "!?", "😀" * 40, "\r\n", "\x1c", "12345 "]), min_size=1, max_size=90).map("".join), max_size=6))
+def test_texts_worked_on_together_are_split_as_each_alone(texts):
+    encode = encoder()
+    for k, (text, start, own, end, n) in enumerate(split_all(texts, LIMITS, encode)):
+        found = [[] for _ in texts]
+        for i, *piece in zip(text, start, own, end, n):
+            found[i].append(tuple(piece))
+        assert found == [split_text(t, LIMITS, encode)[k] for t in texts]
+
+
+def test_counting_packs_no_ids():
+    encode = Encoder(os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json"))
+    texts = ["zimibimaze `kegitata`, tepuritela(rows) 18662191f5dde261e8982d90d1fa477b0f4564fe", "Katapuseha[]: dejalihili é"]
+    units = Units(texts, encode)
+    assert not encode.cache
+    assert units.totals.tolist() == [encode.count(t) for t in texts]
